@@ -147,10 +147,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def build_index(rows: DataFrame, grams: list[str]) -> DataFrame:
     """Postings (gram, doc_id, hash) of the given trigrams, one for each text that has it."""
-    low = ascii_lower(F.col("text"))
-    found = rows.select("doc_id", "hash", low.alias("low")).select(
-        "doc_id", "hash", F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.contains(F.col("low"), g)).alias("grams")
-    )
+    asked = F.array(*[F.lit(g) for g in grams])
+    # The lower-cased text is bound by a lambda, so that it is made once and not again for every trigram.
+    found = F.transform(F.array(ascii_lower(F.col("text"))), lambda low: F.filter(asked, lambda g: F.contains(low, g)))
+    found = rows.select("doc_id", "hash", found[0].alias("grams"))
     return found.select(F.explode("grams").alias("gram"), "doc_id", "hash")
 
 
