@@ -20,9 +20,11 @@ id and text columns are read, so extra columns cannot clash.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -146,10 +148,14 @@ class Words(dict):
 
     The tokenizer's splitter never joins what white space parts, so the ids of
     a text are those of its pieces in turn, and pieces that come back need not
-    be encoded again.  The memo is emptied when it is full.
+    be encoded again.  To have fewer of them, ASCII capitals, which the
+    tokenizer lowers itself, are lowered first (not near its special tokens),
+    and a full stop or comma between a letter and white space, which the
+    splitter cuts off too, is a piece.  The memo is emptied when it is full.
     """
 
-    LIMIT, LONGEST = 200_000, 40
+    LIMIT, LONGEST = 400_000, 40
+    MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -158,18 +164,23 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(local_path(path))
 
     def __missing__(self, piece: str) -> list[int]:
-        ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= self.LONGEST:
-            if len(self) >= self.LIMIT:
-                self.clear()
-            self[piece] = ids
-        return ids
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def pieces(self, text: str) -> list[str]:
+        if "<|" not in text:
+            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return self.MARK.sub(r" \1", text).replace("\n", " ").split(" ")
 
     def encode(self, text: str | None, end_id: int | None) -> np.ndarray:
-        pieces = (text or "").replace("\n", " ").split(" ")
-        if len(self) < self.LIMIT and (new := [p for p in {*pieces} if p and p not in self and len(p) <= self.LONGEST]):
+        pieces = self.pieces(text or "")
+        kinds = {p for p in pieces if len(p) <= self.LONGEST}
+        new = [p for p in kinds if p not in self]
+        if len(self) + len(new) > self.LIMIT:
+            self.clear()
+            new = list(kinds)
+        if new:
             self.update(zip(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
-        ids = [i for p in pieces if p for i in self[p]]
+        ids = list(chain.from_iterable(map(self.__getitem__, pieces)))
         if end_id is not None:
             ids.append(end_id)
         return np.array(ids, np.uint32)
