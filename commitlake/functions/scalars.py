@@ -47,3 +47,9 @@ def cosine_distance(a: Column, b: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), zero, lambda s, v: s + v)
 
     return 1 - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def tracking_name(name: Column, remote: str) -> Column:
+    """The local name under which a remote's branch is followed; other names stay."""
+    head = "refs/heads/"
+    return F.when(name.startswith(head), F.concat(F.lit(f"refs/remotes/{remote}/"), F.substring(name, F.lit(len(head) + 1), F.length(name)))).otherwise(name)

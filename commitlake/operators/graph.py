@@ -8,7 +8,7 @@ is reached over many paths is kept once, at its shortest distance.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.cut import materialize
 
@@ -91,3 +91,77 @@ def nth_ancestor(edges: DataFrame, starts: DataFrame, count: int) -> DataFrame:
     for _ in range(count):
         out = out.join(first, "commit_id").select("root", F.col("parent_id").alias("commit_id"))
     return out
+
+
+def log(edges: DataFrame, roots: DataFrame, limit: int | None = 100) -> DataFrame:
+    """(root, commit_id, place): breadth-first order from each root, parents in their order, at most ``limit`` for a root.
+
+    Within a level a commit's place follows the way of parent positions that
+    first reaches it; places are ranks of (level, way).  A way takes three
+    characters a level, and one task ranks a root's reached commits.  There are at
+    most ``limit`` levels; without a limit, both grow with the root's history.
+    """
+    step = materialize(edges.select("commit_id", "parent_id", F.lpad(F.col("ord").cast("string"), 3, "0").alias("turn")), "turns")
+    seen = frontier = materialize(roots.select("root", F.col("root").alias("commit_id"), F.lit(0).alias("level"), F.lit("").alias("way")).distinct(), "level")
+    level = 0
+    while frontier.take(1) and (limit is None or level < limit):
+        level += 1
+        reached = frontier.join(step, "commit_id").groupBy("root", F.col("parent_id").alias("commit_id")).agg(F.min(F.concat("way", "turn")).alias("way"))
+        fresh = reached.join(seen, ["root", "commit_id"], "left_anti")
+        frontier = materialize(fresh.select("root", "commit_id", F.lit(level).alias("level"), "way"), "level")
+        seen = seen.unionByName(frontier)
+    placed = seen.withColumn("place", F.row_number().over(Window.partitionBy("root").orderBy("level", "way")).cast("long") - 1)
+    return (placed if limit is None else placed.filter(F.col("place") < limit)).select("root", "commit_id", "place")
+
+
+def describe(log: DataFrame, tags: DataFrame) -> DataFrame:
+    """(root, tag, n): the tag first met in the log, by name among those of one commit, and its place."""
+    return log.join(tags, "commit_id").groupBy("root").agg(F.min_by("tag", F.struct("place", "tag")).alias("tag"), F.min("place").alias("n"))
+
+
+def _reach(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    ends = pairs.select(F.explode(F.array("left", "right")).alias("root")).distinct()
+    return materialize(distances(edges, ends).select("root", "commit_id"), "reach")
+
+
+def _of(pairs: DataFrame, far: DataFrame, end: str) -> DataFrame:
+    return pairs.distinct().join(far.withColumnRenamed("root", end), end).select("left", "right", "commit_id")
+
+
+def ahead_behind(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left, right, ahead, behind): numbers of commits that only left, and only right, reaches."""
+    far = _reach(edges, pairs)
+    nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    sides = _of(pairs, far, "left").withColumns({"l": one, "r": nothing}).unionByName(_of(pairs, far, "right").withColumns({"l": nothing, "r": one}))
+    met = sides.groupBy("left", "right", "commit_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return met.groupBy("left", "right").agg(F.sum(F.greatest(F.col("l") - F.col("r"), nothing)).alias("ahead"),
+                                            F.sum(F.greatest(F.col("r") - F.col("l"), nothing)).alias("behind"))
+
+
+def symmetric_range(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``A...B``: (left, right, commit_id) that either side reaches and their merge base does not."""
+    bases = materialize(merge_bases(edges, pairs).select("left", "right", "base"), "bases")
+    far = _reach(edges, pairs)
+    either = _of(pairs, far, "left").unionByName(_of(pairs, far, "right")).distinct()
+    below = distances(edges, bases.filter("base is not null").select(F.col("base").alias("root"))).select(F.col("root").alias("base"), "commit_id")
+    return either.join(bases, ["left", "right"]).join(below, ["base", "commit_id"], "left_anti").select("left", "right", "commit_id")
+
+
+def pull_policy(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(left, right, policy) of a local and a remote tip: up-to-date, fast-forward, local-ahead or diverged."""
+    counts = ahead_behind(edges, pairs)
+    # A tip reaches itself, so one side has no commit of its own exactly when the other reaches its tip.
+    policy = (
+        F.when((F.col("ahead") == 0) & (F.col("behind") == 0), "up-to-date").when(F.col("ahead") == 0, "fast-forward")
+        .when(F.col("behind") == 0, "local-ahead").otherwise("diverged")
+    )
+    return counts.select("left", "right", policy.alias("policy"))
+
+
+def transfer_contents(edges: DataFrame, pairs: DataFrame, tree: DataFrame) -> DataFrame:
+    """(left, right, content_id) in commits that right reaches and left does not, without contents that left's commits have."""
+    far = _reach(edges, pairs)
+    contents = tree.select("commit_id", "content_id").distinct()
+    had = far.join(contents, "commit_id").select(F.col("root").alias("left"), "content_id").distinct()
+    sent = _of(pairs, far, "right").join(far.withColumnRenamed("root", "left"), ["left", "commit_id"], "left_anti")
+    return sent.join(contents, "commit_id").select("left", "right", "content_id").distinct().join(had, ["left", "content_id"], "left_anti").select("left", "right", "content_id")

@@ -113,3 +113,32 @@ def merge_trees(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[
     b, o, t = (F.col(c) for c in ("base", "ours", "theirs"))
     take_ours, take_theirs = o.eqNullSafe(t) | t.eqNullSafe(b), o.eqNullSafe(b)
     return joined.withColumns({"resolved": F.when(take_ours, o).when(take_theirs, t), "conflict": ~(take_ours | take_theirs)})
+
+
+def summary(status: DataFrame) -> DataFrame:
+    """One row: numbers of staged, unstaged and untracked paths; any of them makes the tree unclean."""
+    counts = status.agg(
+        F.count("index_kind").alias("staged"), F.count_if(F.col("work_kind") != "untracked").alias("unstaged"), F.count_if(F.col("work_kind") == "untracked").alias("untracked")
+    )
+    return counts.withColumn("clean", (F.col("staged") + F.col("unstaged") + F.col("untracked")) == 0)
+
+
+def stat(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, type) of ``asked(path)``: file, dir (also one that only paths imply), or null."""
+    kinds = tree.select("path", F.lit("file").alias("type")).unionByName(directories(tree).withColumn("type", F.lit("dir")))
+    found = kinds.join(asked, "path", "left_semi").groupBy("path").agg(F.max("type").alias("type"))
+    return asked.distinct().join(found, "path", "left")
+
+
+def same_but_space(a: Column, b: Column, rule: str) -> Column:
+    """Whether two texts are equal but for space: ``all`` of it, its amount (``change``) or that at line ends (``eol``)."""
+    blank = "[ \\t\\r]+"
+
+    def bare(text: Column) -> Column:
+        if rule == "all":
+            return F.regexp_replace(text, blank, "")
+        if rule == "change":
+            text = F.regexp_replace(text, blank, " ")
+        return F.regexp_replace(text, f"{blank}(\\n|\\z)", "$1")
+
+    return bare(a) == bare(b)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog
+from .plans import catalog, porcelain  # noqa: F401 - registers its queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

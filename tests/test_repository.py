@@ -6,8 +6,8 @@ from itertools import product
 
 import pytest
 
-from commitlake.functions import scalars as S
-from commitlake.operators import graph, textdiff, trees
+from commitlake.functions import pathspec, scalars as S
+from commitlake.operators import graph, state, textdiff, trees
 from pyspark.sql import functions as F
 
 DIAMOND = [("left", "root", 0), ("right", "root", 0), ("tip", "left", 0), ("tip", "right", 1)]
@@ -101,3 +101,41 @@ def test_scalars(spark):
     assert get(S.is_binary(F.unhex(F.lit("6100")))) and not get(S.strict_utf8(F.unhex(F.lit("ff"))))
     with pytest.raises(Exception, match="bad path"):
         get(S.normalize_path(F.lit("a/../b")))
+
+
+def test_log_and_sides(spark):
+    edges = edge_table(spark, DIAMOND)
+    tips = spark.createDataFrame([("tip",)], "root string")
+    order = {r["place"]: r["commit_id"] for r in graph.log(edges, tips).collect()}
+    assert [order[k] for k in range(4)] == ["tip", "left", "right", "root"]
+    assert {r["commit_id"] for r in graph.log(edges, tips, 2).collect()} == {"tip", "left"}
+    tags = spark.createDataFrame([("root", "a"), ("right", "z"), ("right", "y")], "commit_id string, tag string")
+    assert [tuple(r) for r in graph.describe(graph.log(edges, tips), tags).collect()] == [("tip", "y", 2)]
+    pairs = spark.createDataFrame([("left", "right"), ("left", "tip"), ("tip", "left"), ("tip", "tip")], "left string, right string")
+    assert {tuple(r) for r in graph.ahead_behind(edges, pairs).collect()} == {("left", "right", 1, 1), ("left", "tip", 0, 2), ("tip", "left", 2, 0), ("tip", "tip", 0, 0)}
+    assert {r["policy"] for r in graph.pull_policy(edges, pairs).collect()} == {"diverged", "fast-forward", "local-ahead", "up-to-date"}
+    three = graph.symmetric_range(edges, pairs.filter("right = 'right'")).collect()
+    assert {r["commit_id"] for r in three} == {"left", "right"}
+
+
+@pytest.mark.parametrize(("specs", "found"), [
+    ([], {"a.txt", "d/a.txt", "d/e/b.TXT", "x*y"}), (["*.txt"], {"a.txt", "d/a.txt"}), ([":(glob)*.txt"], {"a.txt"}), ([":(glob)**/*.txt"], {"a.txt", "d/a.txt"}),
+    ([":(glob,icase)d/**/*.txt"], {"d/a.txt", "d/e/b.TXT"}), (["d"], {"d/a.txt", "d/e/b.TXT"}), (["d/*", ":!d/e"], {"d/a.txt"}), ([":(literal)x*y"], {"x*y"}), ([":/d/e"], {"d/e/b.TXT"}), (["[ab].txt"], {"a.txt", "d/a.txt"}),
+])
+def test_pathspec(spark, specs, found):
+    paths = spark.createDataFrame([("a.txt",), ("d/a.txt",), ("d/e/b.TXT",), ("x*y",)], "path string")
+    assert {r["path"] for r in paths.filter(pathspec.matches(F.col("path"), specs)).collect()} == found
+
+
+def test_state(spark):
+    index, work = tree(spark, a=1, b=2), tree(spark, a=9, n=3)
+    staged = {r["path"]: (r["content_id"], r["state"]) for r in state.stage(index, work, F.lit(True)).collect()}
+    assert staged == {"a": (9, "present"), "b": (None, "deleted"), "n": (3, "present")}
+    assert {r["path"] for r in state.index_tree(state.stage(index, work, F.col("path") == "b")).collect()} == {"a"}
+    assert {tuple(r)[:2] for r in state.reset_hard(index, work, tree(spark, a=5)).collect()} == {("a", 5), ("n", 3)}
+    blocked = state.checkout_blocked(trees.status(tree(spark, a=1), tree(spark, a=2), tree(spark, a=2, n=1)), tree(spark, n=7))
+    assert {tuple(r) for r in blocked.collect()} == {("a", "staged"), ("n", "untracked")}
+    refs = state.set_ref(spark.createDataFrame([("x", 1), ("y", 2)], "name string, commit_id long"), "x", 3)
+    assert {tuple(r) for r in state.set_ref(refs, "y", None).collect()} == {("x", 3)}
+    with pytest.raises(ValueError):
+        state.rename(index, "d", "d/e")
