@@ -30,16 +30,17 @@ def parse(spec: str) -> tuple[set[str], str]:
     return magic, pattern.removeprefix("./").strip("/")
 
 
-def glob_regex(pattern: str, slashes: bool) -> str:
-    """A regular expression of a wildcard pattern; without ``slashes``, * and ? stop at a slash and ** crosses them."""
+def glob_regex(pattern: str, slashes: bool, classes: bool = True) -> str:
+    """A regular expression of a wildcard pattern; without ``slashes``, * and ? stop at a slash and ** crosses them; brackets are ``classes`` or plain."""
     one = "." if slashes else "[^/]"
     forms = {"**/": ".*" if slashes else "(?:.*/)?", "**": ".*", "*": f"{one}*", "?": one}
-    parts = re.findall(r"\*\*/|\*\*|\*|\?|\[[!^]?\]?[^\]]*\]|\\.|.", pattern, re.S)
+    brackets = r"\[[!^]?\]?[^\]]*\]|" if classes else ""
+    parts = re.findall(rf"\*\*/|\*\*|\*|\?|{brackets}\\.|.", pattern, re.S)
     out = []
     for part in parts:
         if part in forms:
             out.append(forms[part])
-        elif len(part) > 2 and part[0] == "[":
+        elif classes and len(part) > 2 and part[0] == "[":
             negated = part[1] in "!^"
             body = part[1 + negated : -1].replace("\\", "\\\\").replace("[", "\\[").replace("&&", "&\\&")
             out.append(f"[{'^' * negated}{body}]")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import scalars as S
+from ..functions import ignore, scalars as S
 from ..functions.pathspec import matches
 from ..operators import graph, state, textdiff, trees
 from .catalog import CHANGES, LINES, PAIRS, REACH, SIDES, KIND, changed, pairs, query, roots
@@ -280,3 +280,12 @@ def h04_log_format(r):
 @query(CHANGES + " SELECT author, message, path, kind FROM commits JOIN changes USING (commit_id) WHERE commit_id = 100")
 def h06_show(r):
     return r.commits.filter("commit_id = 100").join(changed(r), "commit_id").select("author", "message", "path", "kind")
+
+
+IGNORE = {".gitignore": "# sources\n/src0/\n*7.txt\n!f17.txt\n", "src1/.gitignore": "de/**\n!de/*1.txt\n"}
+
+
+@query(r"""SELECT path, CASE WHEN regexp_matches(path, '^src1/de/[^/]*1[.]txt$') THEN false WHEN starts_with(path, 'src1/de/') THEN true WHEN regexp_matches(path, '/f17[.]txt$') THEN false
+ELSE suffix(path, '7.txt') OR starts_with(path, 'src0/') END AS ignored FROM worktree""")
+def i04_ignored(r):
+    return r.worktree.select("path", ignore.ignored(F.col("path"), ignore.rules(IGNORE)).alias("ignored"))

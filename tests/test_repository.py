@@ -6,7 +6,7 @@ from itertools import product
 
 import pytest
 
-from commitlake.functions import pathspec, scalars as S
+from commitlake.functions import ignore, pathspec, scalars as S
 from commitlake.operators import graph, state, textdiff, trees
 from pyspark.sql import functions as F
 
@@ -139,3 +139,13 @@ def test_state(spark):
     assert {tuple(r) for r in state.set_ref(refs, "y", None).collect()} == {("x", 3)}
     with pytest.raises(ValueError):
         state.rename(index, "d", "d/e")
+
+
+def test_ignore(spark):
+    found = ignore.rules({"src/.gitignore": "generated/**\n!generated/keep.clj\n", ".gitignore": "# note\n\n*.log  \r\ntarget/\n!important.log\n/build\n\\#x\n[a]\n"})
+    wanted = {
+        "debug.log": True, "nested/debug.log": True, "important.log": False, "target/classes/a.class": True, "build/output.js": True, "nested/build/output.js": False,
+        "src/generated/a.clj": True, "src/generated/keep.clj": False, "#x": True, "a": False, "d/[a]": True,
+    }
+    paths = spark.createDataFrame([(p,) for p in wanted], "path string")
+    assert {r[0]: r[1] for r in paths.select("path", ignore.ignored(F.col("path"), found)).collect()} == wanted
