@@ -28,6 +28,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .storage import local_path, materialize, open_file, read_file, shared_dir, write_file
@@ -143,47 +144,103 @@ def read_span(path: str, start: int, count: int) -> np.ndarray:
         return ids[start - first * block :][:count]
 
 
-class Words(dict):
-    """Ids of pieces between spaces and line ends.
+class Words:
+    """Ids of whole texts, by way of their pieces between spaces and line ends.
 
-    The tokenizer's splitter never joins what white space parts, so the ids of
-    a text are those of its pieces in turn, and pieces that come back need not
-    be encoded again.  To have fewer of them, ASCII capitals, which the
-    tokenizer lowers itself, are lowered first (not near its special tokens),
-    and a full stop or comma between a letter and white space, which the
-    splitter cuts off too, is a piece.  The memo is emptied when it is full.
+    If the tokenizer's splitter never joins what white space parts (which is
+    tried on a probe), the ids of a text are those of its pieces in turn, and
+    pieces that come back need not be encoded again.  To have fewer of them,
+    ASCII capitals, which such a tokenizer lowers itself, are lowered first, and
+    symbols between a letter or digit and white space, which the splitter cuts
+    off too, are a piece.  A piece of Latin-1 small letters alone goes straight
+    to the tokenizer's model.  The memo is emptied when it is full.  Texts that
+    name a special token, or have a mark that joins only with small letters, are
+    encoded whole, as are all texts by any other tokenizer.
     """
 
     LIMIT, LONGEST = 400_000, 40
-    MARK = re.compile(r"(?<=[^\W_])([.,])(?=[ \n]|\Z)")
+    #: Characters of text that are encoded at a time, but for longer documents.
+    STEP = 4_000_000
+    #: Symbols after a letter or digit, up to white space or the end (RE2).
+    MARK = r"([a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
+    #: Marks that join with h, j, t, w or y, but not with their capitals.
+    JOINING = r"[\x{308}\x{30a}\x{30c}\x{331}]"
+    PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+    PROBE = ["The", "naïve", "straße,", "it's.", "x2***", "don't", "3.14;", "of"]
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(local_path(path))
-
-    def __missing__(self, piece: str) -> list[int]:
-        return self.tokenizer.encode(piece, add_special_tokens=False).ids
-
-    def pieces(self, text: str) -> list[str]:
-        if "<|" not in text:
-            text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-        return self.MARK.sub(r" \1", text).replace("\n", " ").split(" ")
+        self.model = self.tokenizer.model
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.as_it_is = "(?i)" + "|".join([self.JOINING, *map(re.escape, special)])
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        small = [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
+        self.bytes = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in small}
+        self.memo: dict[str, list[int]] = {}
+        want = self._whole("\n".join(self.PROBE) + " " + " ".join(self.PROBE))
+        self.parts = want == [i for p in self.PROBE * 2 for q in re.sub(r"(\w)([.,;*]+)$", r"\1 \2", p.lower()).split() for i in self._whole(q)]
+        self.direct = all(self._direct(p) == self._whole(p) for p in ("of", "straße", "ñandú", "élève"))
+
+    def _whole(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _direct(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))]
+
+    def _lookup(self, pieces: list[str]) -> list[list[int]]:
+        memo = self.memo
+        new = [p for p in pieces if p not in memo]
+        if len(memo) + len(new) > self.LIMIT:
+            memo.clear()
+            new = pieces
+        now, rest = {}, []
+        for p in new:
+            if self.direct and self.PLAIN(p):
+                (memo if len(p) <= self.LONGEST else now)[p] = self._direct(p)
+            else:
+                rest.append(p)
+        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            (memo if len(p) <= self.LONGEST else now)[p] = e.ids
+        return [memo[p] if p in memo else now[p] for p in pieces]
+
+    def encode_all(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
+        """The ids of each text, with the end id; null is an empty text."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends, out, at = np.cumsum(pc.binary_length(texts).to_numpy()), [], 0
+        while at < len(texts):
+            upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.STEP, "right"))
+            # A copy: Arrow's lower-casing mistakes the offsets of a slice.
+            upto = max(at + 1, upto)
+            out += self._step(texts.take(pa.array(np.arange(at, upto))), end_id)
+            at = upto
+        return out
+
+    def _step(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
+        tail = [] if end_id is None else [end_id]
+        odd = pc.match_substring_regex(texts, self.as_it_is).to_numpy(zero_copy_only=False) if self.parts else np.ones(len(texts), bool)
+        whole = {int(i): np.array(self._whole(texts[int(i)].as_py()) + tail, np.uint32) for i in np.flatnonzero(odd)}
+        if not self.parts:
+            return [whole[i] for i in range(len(texts))]
+        texts = pc.ascii_lower(texts.take(pa.array(np.flatnonzero(~odd))))
+        texts = pc.replace_substring(pc.replace_substring_regex(texts, self.MARK, r"\1 \2\3"), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        found = self._lookup(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        values = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        kinds = coded.indices.to_numpy()
+        each = sizes[kinds]
+        after = np.cumsum(each)
+        ids = values[np.repeat((np.cumsum(sizes) - sizes)[kinds] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
+        cuts = np.concatenate(([0], after))[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        end = np.array(tail, np.uint32)
+        part = (np.concatenate((ids[a:b], end)) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))
+        return [whole[i] if i in whole else next(part) for i in range(len(odd))]
 
     def encode(self, text: str | None, end_id: int | None) -> np.ndarray:
-        pieces = self.pieces(text or "")
-        kinds = {p for p in pieces if len(p) <= self.LONGEST}
-        new = [p for p in kinds if p not in self]
-        if len(self) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(kinds)
-        if new:
-            self.update(zip(new, [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]))
-        ids = list(chain.from_iterable(map(self.__getitem__, pieces)))
-        if end_id is not None:
-            ids.append(end_id)
-        return np.array(ids, np.uint32)
+        return self.encode_all(pa.array([text], pa.large_string()), end_id)[0]
 
 
 _WORDS: dict[str, Words] = {}
@@ -218,9 +275,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(held)], "n_ids": [count]}, MANIFEST)
 
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = words.encode(batch.column(1)[i].as_py(), end_id)
-                held.append((batch.column(0)[i].as_py(), ids))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1), end_id)):
+                held.append((doc_id, ids))
                 count += len(ids)
                 if count >= file_ids:
                     yield close()

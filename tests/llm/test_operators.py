@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -207,6 +208,13 @@ def test_tokens(spark):
     words = tokens.Words(path)
     for t in [*sample, *texts]:
         assert words.encode(t, 2).tolist() == [*reference.encode(t or "", add_special_tokens=False).ids, 2]
+    odd = ["J\u030c T\u0308x", "Foo<|endoftext|>bar. X<|startoftext|>", "q <|ENDOFTEXT|>.", "a<|b. <|", "a.b, c'd's. it's' x", "\u0391\u03a3 \u03a3\u0391\u03a3.",
+           "a b\td\r\ne\x0bf\x1cg", "x\u00b2** \u00f1,\n", "a" * 5000 + ".", "don't.. 'tis 's,'", " lead  two   ", None]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        plain, memo = Tokenizer.from_file(path.replace("word_bpe_49k.json", name)), tokens.Words(path.replace("word_bpe_49k.json", name))
+        memo.STEP, memo.LIMIT = 40, 10
+        got = memo.encode_all(pa.array(["pad", *odd]).slice(1), 2)
+        assert [x.tolist() for x in got] == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in odd]
     out = tokens.tokenized(df, path, file_ids=5000).collect()
     want = Counter()
     for doc, text, *_ in rows:
