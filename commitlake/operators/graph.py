@@ -165,3 +165,10 @@ def transfer_contents(edges: DataFrame, pairs: DataFrame, tree: DataFrame) -> Da
     had = far.join(contents, "commit_id").select(F.col("root").alias("left"), "content_id").distinct()
     sent = _of(pairs, far, "right").join(far.withColumnRenamed("root", "left"), ["left", "commit_id"], "left_anti")
     return sent.join(contents, "commit_id").select("left", "right", "content_id").distinct().join(had, ["left", "content_id"], "left_anti").select("left", "right", "content_id")
+
+
+def range_pairs(edges: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(left, right, dots, before, after) for ``ranges(left, right, dots)``: two dots compare left with right, three their merge base with right."""
+    bases = merge_bases(edges, ranges.filter("dots = 3").select("left", "right").distinct()).select("left", "right", "base")
+    joined = ranges.join(bases, ["left", "right"], "left")
+    return joined.select("left", "right", "dots", F.when(F.col("dots") == 3, F.col("base")).otherwise(F.col("left")).alias("before"), F.col("right").alias("after"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .trees import FIELDS
+from .trees import FIELDS, commit_changes, side
 
 
 def index_of(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -66,6 +66,42 @@ def set_ref(refs: DataFrame, name: str, commit_id: object) -> DataFrame:
     return rest.unionByName(refs.sparkSession.createDataFrame([(name, commit_id)], refs.select("name", "commit_id").schema))
 
 
+def set_config(config: DataFrame, updates: DataFrame) -> DataFrame:
+    """(key, value): ``config`` with the keys of ``updates`` set, or, where the value is null, unset."""
+    kept = config.join(updates.select("key"), "key", "left_anti").select("key", "value")
+    return kept.unionByName(updates.filter("value is not null").select("key", "value"))
+
+
+def effective_config(local: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, value, origin): the local value of a key, else the global one."""
+    one = lambda t, name: t.select("key", F.struct("value").alias(name))
+    joined = one(local, "l").join(one(shared, "g"), "key", "full_outer")
+    here = F.col("l").isNotNull()
+    return joined.select("key", F.when(here, F.col("l.value")).otherwise(F.col("g.value")).alias("value"), F.when(here, "local").otherwise("global").alias("origin"))
+
+
+def cherry_pick(tree: DataFrame, commits: DataFrame, edges: DataFrame, picks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For ``picks(commit_id, onto)``: verdicts (commit_id, onto, changes, applicable), and the trees (commit_id, onto, path, fields..) of the applicable.
+
+    A commit's changes against its first parent apply if each changed path is
+    in the tree of ``onto`` as it was in the parent's.
+    """
+    picks = picks.select("commit_id", "onto").distinct()
+    changed = commit_changes(tree, commits, edges).join(picks, "commit_id")
+    now = side(tree.withColumnRenamed("commit_id", "onto"), ["onto", "path"], "now")
+    tested = changed.join(now, ["onto", "path"], "left").withColumn("fits", F.col("before").eqNullSafe(F.col("now")))
+    counts = tested.groupBy("commit_id", "onto").agg(F.count("*").alias("changes"), F.bool_and("fits").alias("applicable"))
+    verdicts = picks.join(counts, ["commit_id", "onto"], "left").select(
+        "commit_id", "onto", F.coalesce("changes", F.lit(0)).alias("changes"), F.coalesce("applicable", F.lit(True)).alias("applicable")
+    )
+    taken = verdicts.filter("applicable").select("commit_id", "onto")
+    keys = ["commit_id", "onto", "path"]
+    old = side(tree.withColumnRenamed("commit_id", "onto").join(taken, "onto"), keys, "now")
+    both = old.join(changed.join(taken, ["commit_id", "onto"], "left_semi").select(*keys, "kind", "after"), keys, "full_outer")
+    final = F.when(F.col("kind").isNotNull(), F.col("after")).otherwise(F.col("now"))
+    return verdicts, both.withColumn("final", final).filter("final is not null").select(*keys, "final.*")
+
+
 def resolve(names: list[str], refs: DataFrame, commits: DataFrame) -> DataFrame:
     """(asked, commit_id, status) of revision names: full ref, branch, tag, then a prefix of one id only.
 
