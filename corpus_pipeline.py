@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commitlake.llm import decontaminate, quality, queries, simhash, storage, tokens
+from commitlake.llm import decontaminate, quality, queries, similar, storage, tokens
 from commitlake.shipping import ship
 
 
@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints: the one with the smallest id."""
-    return simhash.near_dedup(docs)
+    """One document of each group linked by similarity >= 0.8 of five-word shingles: the one with the smallest id."""
+    return similar.similar_dedup(docs, width=5, least=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
