@@ -3,8 +3,8 @@
 Texts are lower-cased (A-Z) and cut into words.  The index keeps, for every
 file, the positions of the words that occur in some licence template.  A word's
 IDF is ln(files / files that have it), over all files.  A template posts its
-``posted`` words of highest IDF.  Each file's ``rarest`` posted words of highest
-IDF are looked up in the templates' postings, and
+``posted`` words of highest IDF.  All posted words of a file are looked up in the
+templates' postings, so that no notice hides another, and
 (template, file position - template position) is counted: licence words in the
 template's order and distance agree on that offset.  Offsets with enough words
 are verified: the template's mandatory key phrase must stand there word for
@@ -39,7 +39,7 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 ]
 WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-RAREST, POSTED = 8, 5
+POSTED = 5
 #: Share of the looked-up template words that must agree on an offset, and how many at least.
 SHARE, LEAST = 0.5, 2
 
@@ -65,7 +65,7 @@ def _places(phrase: str) -> Column:
     return F.filter(F.transform("hits", here), lambda p: p.isNotNull())
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, rarest: int = RAREST, posted: int = POSTED,
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, posted: int = POSTED,
          share: float = SHARE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the matched ``notices``."""
     spark = docs.sparkSession
@@ -79,11 +79,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     ranked = sorted(idf, key=lambda w: (-idf[w], w))
     rare = [[w for w in ranked if w in t.split()][:posted] for _, t, _ in templates]
     looked_up = {w for words in rare for w in words}
-    order = F.create_map(*[F.lit(x) for i, w in enumerate(ranked) if w in looked_up for x in (w, i)] or [F.lit(""), F.lit(0)])
-    own = F.filter(F.array_distinct("hits.word"), lambda w: w.isin(sorted(looked_up)))
-    top = F.slice(F.array_sort(F.transform(own, lambda w: F.struct(order[w].alias("rank"), w.alias("word")))), 1, rarest)
-    # The rarest words are bound by a lambda, so that they are found once for each file.
-    places = F.transform(F.array(top["word"]), lambda words: F.filter("hits", lambda h: F.array_contains(words, h["word"])))[0]
+    places = F.filter("hits", lambda h: h["word"].isin(sorted(looked_up)))
     looked = index.select("row", F.explode(places).alias("h"))
 
     postings = [{"template": k, "word": w, "at": i} for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split()) if w in rare[k]]
@@ -99,7 +95,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     )
     word = "at int, word string"
     table = literal_table(spark, notices, f"template int, label string, size int, posted int, words array<struct<{word}>>, key array<struct<{word}>>")
-    likely = offsets.join(F.broadcast(table), "template").filter(F.col("n") >= F.greatest(F.lit(least), F.ceil(share * F.least("posted", F.lit(rarest)))))
+    likely = offsets.join(F.broadcast(table), "template").filter(F.col("n") >= F.greatest(F.lit(least), F.ceil(share * F.col("posted"))))
 
     def stands(w: Column) -> Column:
         return F.array_contains("hits", F.struct((F.col("offset") + w["at"]).cast("int").alias("pos"), w["word"].alias("word")))
