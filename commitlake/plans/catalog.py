@@ -295,6 +295,11 @@ def g13_contains(r):
     return below.join(r.refs, "commit_id").select("root", "name")
 
 
+@query(f", down(root, commit_id) AS (SELECT commit_id, commit_id FROM commits WHERE {ROOTS} UNION SELECT root, e.commit_id FROM down d JOIN edges e ON e.parent_id = d.commit_id) SELECT root, name FROM down JOIN refs USING (commit_id)", recursive=True)
+def g13_contains_roots(r):
+    return graph.distances(r.edges, roots(r), forward=False).join(r.refs, "commit_id").select("root", "name")
+
+
 @query(PAIRS + """, common AS (SELECT "left", "right", a.commit_id FROM pairs JOIN far a ON a.root = "left" JOIN far b ON b.root = "right" AND a.commit_id = b.commit_id)
 SELECT "left", "right", commit_id FROM common c WHERE NOT EXISTS (SELECT 1 FROM common o JOIN edges e ON e.commit_id = o.commit_id WHERE o."left" = c."left" AND o."right" = c."right" AND e.parent_id = c.commit_id)""", recursive=True)
 def g14_lowest_common_ancestors(r):
@@ -336,6 +341,31 @@ def m02_plan_trees(r):
     return merged.select("path", *[F.col(f"{c}.content_id").alias(c) for c in ("base", "ours", "theirs", "resolved")], "conflict")
 
 
+LINEAGE = ", firsts AS (SELECT commit_id, parent_id FROM edges WHERE ord = 0), lineage AS (SELECT a.commit_id, a.parent_id, b.parent_id AS grandparent_id FROM firsts a JOIN firsts b ON b.commit_id = a.parent_id)"
+
+
+def lineage_trees(r: Repository) -> list[DataFrame]:
+    """The trees of grandparent, parent and commit, under the commit's id, for every commit that has both ancestors."""
+    firsts = r.edges.filter("ord = 0").select("commit_id", "parent_id")
+    older = firsts.select(F.col("commit_id").alias("parent_id"), F.col("parent_id").alias("grandparent_id"))
+    rows = firsts.join(older, "parent_id").select(F.col("commit_id").alias("of"), "parent_id", "grandparent_id")
+    return [
+        r.tree.join(rows.select("of", F.col(c).alias("commit_id")), "commit_id").drop("commit_id").withColumnRenamed("of", "commit_id")
+        for c in ("grandparent_id", "parent_id", "of")
+    ]
+
+
+@query(LINEAGE + """, base AS (SELECT l.commit_id, path, content_id, size FROM tree t JOIN lineage l ON t.commit_id = grandparent_id), ours AS (SELECT l.commit_id, path, content_id, size FROM tree t JOIN lineage l ON t.commit_id = parent_id),
+theirs AS (SELECT l.commit_id, path, content_id, size FROM tree t JOIN lineage l ON t.commit_id = l.commit_id),
+m AS (SELECT commit_id, path, b.content_id AS bc, o.content_id AS oc, t.content_id AS tc, (b.content_id, b.size) AS bs, (o.content_id, o.size) AS os, (t.content_id, t.size) AS ts
+FROM base b FULL JOIN ours o USING (commit_id, path) FULL JOIN theirs t USING (commit_id, path))
+SELECT commit_id, path, bc AS base, oc AS ours, tc AS theirs, CASE WHEN os IS NOT DISTINCT FROM ts OR ts IS NOT DISTINCT FROM bs THEN oc WHEN os IS NOT DISTINCT FROM bs THEN tc END AS resolved,
+NOT (os IS NOT DISTINCT FROM ts OR ts IS NOT DISTINCT FROM bs OR os IS NOT DISTINCT FROM bs) AS conflict FROM m""")
+def m02_plan_all_trees(r):
+    merged = trees.merge_trees(*lineage_trees(r), ["commit_id", "path"])
+    return merged.select("commit_id", "path", *[F.col(f"{c}.content_id").alias(c) for c in ("base", "ours", "theirs", "resolved")], "conflict")
+
+
 # -- history
 
 
