@@ -178,12 +178,17 @@ def hex_fingerprint(fp: F.Column) -> F.Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def near_dedup(docs: DataFrame, width: int = 3, max_bits: int = 3) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is its component's smallest; exact repeats of that row collapse to one.
+def near_dedup(docs: DataFrame, width: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component: of the smallest id, a null one last, then of the smallest text hash.
 
-    Rows without a doc_id cannot be named by a component and stay.
+    Rows of one id and different texts are different documents; only rows equal
+    in id and text collapse.
     """
-    parts = simhash_components(docs, width, max_bits)
-    keep = parts.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    key = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"))
+    keyed = docs.select(key.alias("row"), F.col(text_col).alias("text"))
+    numbered = materialize(keyed.dropDuplicates(["row"]).select("row", "text", F.monotonically_increasing_id().alias("number")), "dedup-rows")
+    marks = materialize(simhash_components(numbered, width, max_bits, id_col="number"), "dedup-components")
+    named = numbered.select("row", F.col("number").alias("doc_id")).join(marks, "doc_id")
+    order = F.struct(F.col("row.doc_id").isNull().alias("unnamed"), "row")
+    keep = named.groupBy("component_id").agg(F.min(order).alias("best")).select(F.col("best.row").alias("_kept"))
+    return docs.withColumn("_row", key).join(keep, F.col("_row").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["_row"]).drop("_row")
