@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -13,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset, as in tests."""
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     if not root:
         root = getattr(spark, "_commitlake_root", None)
         if not root:
@@ -57,7 +58,3 @@ def open_file(path: str):
     store, at = _filesystem(path)
     return store.open_input_file(at)
 
-
-def local_path(path: str) -> str:
-    """The tokenizer libraries take a plain path."""
-    return os.path.abspath(path.removeprefix("file://"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from .storage import local_path, materialize, open_file, read_file, shared_dir, write_file
+from .storage import materialize, open_file, read_file, shared_dir, write_file
 
 MAGIC = b"CLT1"
 HEAD = np.dtype([("least", "<u4"), ("width", "u1"), ("exceptions", "<u2")])
@@ -154,8 +154,9 @@ class Words:
     symbols between a letter or digit and white space, which the splitter cuts
     off too, are a piece.  A piece of Latin-1 small letters alone goes straight
     to the tokenizer's model.  The memo is emptied when it is full.  Texts that
-    name a special token, or have a mark that joins only with small letters, are
-    encoded whole, as are all texts by any other tokenizer.
+    name a special token, or have a combining mark (which composes with a small
+    letter otherwise than with its capital), are encoded whole, as are all texts
+    by any other tokenizer.
     """
 
     LIMIT, LONGEST = 400_000, 40
@@ -163,15 +164,16 @@ class Words:
     STEP = 4_000_000
     #: Symbols after a letter or digit, up to white space or the end (RE2).
     MARK = r"([a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
-    #: Marks that join with h, j, t, w or y, but not with their capitals.
-    JOINING = r"[\x{308}\x{30a}\x{30c}\x{331}]"
+    #: Combining marks (RE2).
+    JOINING = r"\p{M}"
     PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
     PROBE = ["The", "naïve", "straße,", "it's.", "x2***", "don't", "3.14;", "of"]
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str | None = None, definition: str | None = None) -> None:
+        """``definition``: the tokenizer's JSON, in place of a file of it."""
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(local_path(path))
+        self.tokenizer = Tokenizer.from_str(definition or read_file(path).decode("utf-8"))
         self.model = self.tokenizer.model
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.as_it_is = "(?i)" + "|".join([self.JOINING, *map(re.escape, special)])
@@ -243,21 +245,25 @@ class Words:
         return self.encode_all(pa.array([text], pa.large_string()), end_id)[0]
 
 
-_WORDS: dict[str, Words] = {}
+_WORDS: dict[int, Words] = {}
 
 
-def _words(path: str) -> Words:
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path]
+def _words(definition: str) -> Words:
+    """One for each worker and tokenizer, so that its memo outlives a task."""
+    key = hash(definition)
+    if key not in _WORDS:
+        _WORDS[key] = Words(definition=definition)
+    return _WORDS[key]
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int | None = 2, id_col: str = "doc_id",
                  text_col: str = "text", file_ids: int = FILE_IDS, block: int = BLOCK, percentile: float = PERCENTILE) -> DataFrame:
     """Encode and write; the manifest (part, file, path, n_docs, n_ids), a table in the shared folder.
 
-    Files follow one another in (part, file) order.
+    Files follow one another in (part, file) order.  The tokenizer's JSON, of
+    some megabytes, is read by the driver and broadcast.
     """
+    definition = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path).decode("utf-8"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -265,7 +271,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words, part = _words(tokenizer_path), TaskContext.get().partitionId()
+        words, part = _words(definition.value), TaskContext.get().partitionId()
         held: list[tuple[int | None, np.ndarray]] = []
         count = file = 0
 
