@@ -2,8 +2,8 @@
 
 Documents are leaves' members in a tree of domain, language and source.  The
 token budget is handed down the tree: each node shares its budget among its
-children by weight, none gets more than it can give (its tokens times
-``max_epochs``), and what a child cannot use goes to its siblings by weight;
+children by weight, none gets more than it can give (the tokens of its leaves
+that have no node of weight 0 above them, times ``max_epochs``), and what a child cannot use goes to its siblings by weight;
 only what a whole subtree cannot use comes back to the ancestors' children.
 A leaf's quota is met by whole epochs over its documents and a prefix of one
 more epoch, in an order seeded by (seed, epoch, document): as many documents
@@ -87,13 +87,16 @@ def budgets(leaves: DataFrame, total: int, weights: dict[tuple, int], max_epochs
     rows = [{**{level: (path + (None,) * 3)[i] for i, level in enumerate(LEVELS)}, "depth": len(path), "weight": w} for path, w in weights.items()]
     table = literal_table(spark, rows, "domain string, lang string, source string, depth int, weight long")
     nodes = leaves.withColumn("cap", F.col("tokens") * max_epochs)
-    above = None
     for depth in range(1, 4):
         path = list(LEVELS[:depth])
-        level = nodes.groupBy(*path).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"))
         given = table.filter(F.col("depth") == depth).select(*[F.col(p).alias(f"_{p}") for p in path], F.col("weight").alias("_weight"))
-        level = level.join(F.broadcast(given), [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in path], "left")  # the given weights
-        level = level.withColumn("weight", F.coalesce("_weight", F.lit(default_weight)).cast("long")).drop("_weight", *[f"_{p}" for p in path])
+        nodes = nodes.join(F.broadcast(given), [F.col(p).eqNullSafe(F.col(f"_{p}")) for p in path], "left")  # the given weights
+        weight = F.coalesce("_weight", F.lit(default_weight)).cast("long")
+        nodes = nodes.withColumns({f"weight{depth}": weight, "cap": F.when(weight > 0, F.col("cap")).otherwise(0)}).drop("_weight", *[f"_{p}" for p in path])
+    above = None
+    for depth in range(1, 4):
+        path = list(LEVELS[:depth])
+        level = nodes.groupBy(*path).agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens"), F.first(f"weight{depth}").alias("weight"))
         if above is None:
             level = level.withColumn("budget", F.lit(total).cast("long"))
         else:
@@ -112,13 +115,11 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple, int], total: int |
     """``docs`` once for each epoch that takes them, with ``epoch``; give ``total`` tokens or a ``fraction`` of those there are."""
     if (total is None) == (fraction is None):
         raise ValueError("give either total or fraction")
-    keyed = docs.drop("epoch").withColumn("_domain", domain.cast("string"))
+    mine = "__mix_"
     document = F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    keyed = keyed.withColumn("_document", document)
-    meta = keyed.select(
-        F.col("_domain").alias("domain"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
-        F.col("_document").alias("document"), (tokens if tokens is not None else token_count(text_col)).alias("tokens"),
-    )
+    leaf_of = {"domain": domain.cast("string"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")}
+    keyed = docs.withColumns({**{f"{mine}{p}": c for p, c in leaf_of.items()}, f"{mine}document": document}).drop("epoch")
+    meta = docs.select(*[c.alias(p) for p, c in leaf_of.items()], document.alias("document"), (tokens if tokens is not None else token_count(text_col)).alias("tokens"))
     meta = materialize(meta, "mix-documents")
     leaves = meta.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("rows"))
     leaves = materialize(leaves, "mix-leaves")
@@ -150,13 +151,13 @@ def mix(docs: DataFrame, domain: Column, weights: dict[tuple, int], total: int |
     plan = quotas.join(cut, [F.col(f"_{p}").eqNullSafe(F.col(f"e_{p}")) for p in LEVELS], "left").select(*leaf, "whole", "rest", "end", "last")
     plan = materialize(plan, "mix-plan")
 
-    plan = plan.select(*[F.col(f"_{p}").alias(f"_leaf_{p}") for p in LEVELS], "whole", "rest", "end", "last")
-    mine = {"domain": F.col("_domain"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string")}
-    out = keyed.join(plan, [mine[p].eqNullSafe(F.col(f"_leaf_{p}")) for p in LEVELS])
-    order = key(F.col("whole"), F.col("_document"))
-    first = bucket(order) < F.col("end")
-    taken = (F.col("rest") > 0) & (F.col("end").isNull() | first | ((bucket(order) == F.col("end")) & (order <= F.coalesce("last", F.lit("")))))
-    copies = F.col("whole") + F.when(taken, 1).otherwise(0)
-    out = out.withColumn("_copies", copies).filter("_copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+    # Names of its own, so that columns of ``docs`` cannot clash.
+    plan = plan.select(*[F.col(f"_{p}").alias(f"{mine}leaf_{p}") for p in LEVELS], *[F.col(c).alias(mine + c) for c in ("whole", "rest", "end", "last")])
+    out = keyed.join(plan, [F.col(f"{mine}{p}").eqNullSafe(F.col(f"{mine}leaf_{p}")) for p in LEVELS])
+    whole, rest, end, last = (F.col(mine + c) for c in ("whole", "rest", "end", "last"))
+    order = key(whole, F.col(f"{mine}document"))
+    taken = (rest > 0) & (end.isNull() | (bucket(order) < end) | ((bucket(order) == end) & (order <= F.coalesce(last, F.lit("")))))
+    copies = whole + F.when(taken, 1).otherwise(0)
+    out = out.withColumn(f"{mine}copies", copies).filter(F.col(f"{mine}copies") > 0)
+    out = out.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col(f"{mine}copies") - 1)))
     return out.select(*[c for c in docs.columns if c != "epoch"], "epoch")
-
