@@ -97,14 +97,17 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     table = literal_table(spark, notices, f"template int, label string, size int, posted int, words array<struct<{word}>>, key array<struct<{word}>>")
     likely = offsets.join(F.broadcast(table), "template").filter(F.col("n") >= F.greatest(F.lit(least), F.ceil(share * F.col("posted"))))
 
-    def stands(w: Column) -> Column:
-        return F.array_contains("hits", F.struct((F.col("offset") + w["at"]).cast("int").alias("pos"), w["word"].alias("word")))
-
-    verified = (
-        likely.join(index.select("row", "hits"), "row")
-        .filter(F.forall("key", stands))
-        .withColumn("share", F.size(F.filter("words", stands)) / F.col("size"))
-    )
+    # Each word that a template has at a likely offset is looked up by its position, so that long files cost no more a word.
+    def at_offset(is_key: int):
+        return lambda w: F.struct((F.col("offset") + w["at"]).cast("int").alias("pos"), w["word"].alias("word"), F.lit(is_key).alias("key"))
+
+    wanted = F.concat(F.transform("words", at_offset(0)), F.transform("key", at_offset(1)))
+    named = ["row", "template", "label", "size", "offset"]
+    asked = likely.select(*named, F.size("key").alias("key_size"), F.explode(wanted).alias("w")).select(*named, "key_size", "w.*")
+    asked = materialize(asked, "licence-asked")
+    there = index.join(asked.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
+    counted = asked.join(there, ["row", "pos", "word"]).groupBy(*named, "key_size").agg(F.sum("key").alias("keys"), F.count("*").alias("n"))
+    verified = counted.filter(F.col("keys") == F.col("key_size")).withColumn("share", (F.col("n") - F.col("keys")) / F.col("size"))
     found = verified.groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("share").alias("share"),
         F.array_sort(F.collect_list(F.struct(F.col("offset").alias("start"), "label", "share"))).alias("notices"),
