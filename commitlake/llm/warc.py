@@ -8,18 +8,22 @@ with equal payloads, that of the smallest page is the response and the others
 are revisits of it without a body.
 
 Reader: takes the dictionary from the leading skippable frame (raw or
-compressed), finds every frame's end from its block headers, decodes one frame
-at a time, and requires exactly one record in it: version line, mandatory
-fields, a block as long as Content-Length, and the closing empty lines.  A
-response's payload must match its HTTP length and SHA-1 digest.  Anything else
-raises ``WarcError``.
+compressed), passes over other skippable frames, finds every frame's end from
+its block headers, decodes one frame at a time, and requires exactly one record
+in it: version line, mandatory fields, a block as long as Content-Length, and
+the closing empty lines.  Records of all types and with any id are read.  An
+HTTP block is cut into its head and its payload, with chunks joined; where the
+head states a length, or the record a digest (SHA-1 in base 32 or 16, SHA-256,
+MD5), the payload must match it, unless the record is marked as truncated.
+Anything else raises ``WarcError``.
 
 Edge cases: null html is an empty payload; payloads below ``least`` bytes are
 all responses; if several rows have the smallest page id, all are responses;
 rows with a null page id are revisits if another row with that payload has an
 id; a null url has no target field, and control characters in urls are
 percent-encoded; an empty table gives an empty result.  Only page_id, url and
-html are read, so extra columns cannot clash.
+html are read, so extra columns cannot clash.  Records that are not pages of
+this writer have a null page_id; a payload that is not UTF-8 has a null html.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .storage import materialize, open_file, shared_dir, write_file
 
-DICTIONARY_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0xFD2FB528
+DICTIONARY_MAGIC, SKIPPABLE_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 200, 1_000_000, 32_768
 #: An archive is closed when its records have so many bytes before compression.
 ARCHIVE_BYTES = 64_000_000
@@ -54,9 +58,10 @@ def _uri(page: int | None) -> str:
     return f"<urn:page:{'' if page is None else page}>"
 
 
-def _page(uri: str) -> int | None:
-    value = uri.removeprefix("<urn:page:").removesuffix(">")
-    return int(value) if value else None
+def _page(uri: str | None) -> int | None:
+    """The page of a record id of this writer."""
+    value = (uri or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(value) if value.lstrip("-").isdigit() else None
 
 
 def build_record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
@@ -114,53 +119,114 @@ def frame_size(f, at: int) -> int:
     return size + 4 * (flags >> 2 & 1)
 
 
+def _joined_chunks(body: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        line, end, _ = body[at : at + 1024].partition(b"\r\n")
+        digits = line.split(b";")[0].strip()
+        try:
+            size = int(digits, 16)
+        except ValueError:
+            raise WarcError(f"bad chunk size {digits!r}") from None
+        at += len(line) + 2
+        if not end or at + size > len(body):
+            raise WarcError("a chunk is cut off")
+        if not size:
+            return b"".join(out)
+        out.append(body[at : at + size])
+        at += size + 2
+
+
+def _http(block: bytes) -> tuple[bytes, int | None]:
+    """Payload and stated length of an HTTP message."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    fields = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(b":") for x in head.split(b"\r\n")[1:]) if colon}
+    if b"chunked" in fields.get(b"transfer-encoding", b"").lower() and payload:
+        return _joined_chunks(payload), None
+    length = fields.get(b"content-length", b"")
+    return payload, int(length) if length.isdigit() else None
+
+
+def _matches(payload: bytes, claimed: str) -> bool:
+    """Whether a labelled digest is that of ``payload``; unknown algorithms cannot be tested."""
+    name, _, value = claimed.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("sha1", "sha256", "md5"):
+        return True
+    raw = hashlib.new(name, payload).digest()
+    return value.strip().lower().rstrip("=") in (raw.hex(), base64.b32encode(raw).decode().lower().rstrip("="))
+
+
 def parse_record(data: bytes) -> dict:
     """Fields and payload of the one record in ``data``, validated."""
     head, gap, rest = data.partition(b"\r\n\r\n")
-    lines = head.decode("utf-8", "surrogatepass").split("\r\n")
+    lines = head.decode("utf-8", "surrogateescape").split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError("no version line")
-    fields = {}
+    fields: dict[str, str] = {}
+    name = ""
     for line in lines[1:]:
+        if line[:1] in (" ", "\t") and name:
+            fields[name] += f" {line.strip()}"
+            continue
         name, colon, value = line.partition(":")
-        if not colon:
+        name = name.strip().lower()
+        if not colon or not name:
             raise WarcError(f"bad field {line!r}")
-        fields[name.strip().lower()] = value.strip()
+        fields[name] = value.strip()
     for name in ("warc-type", "warc-record-id", "warc-date", "content-length"):
         if name not in fields:
             raise WarcError(f"no {name}")
-    if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
+    if not (fields["content-length"].isascii() and fields["content-length"].isdigit()) or len(rest) != int(fields["content-length"]) + 4 or not rest.endswith(b"\r\n\r\n"):
         raise WarcError("the block is not as long as Content-Length, or not one record")
-    http, _, payload = rest[:-4].partition(b"\r\n\r\n")
-    sizes = [int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-    claimed = fields.get("warc-payload-digest", "").removeprefix("sha1:")
-    if fields["warc-type"] == "response" and (sizes != [len(payload)] or claimed != digest(payload)):
-        raise WarcError("the payload does not match its length or digest")
-    return {"fields": fields, "payload": payload, "bytes": sizes[0] if sizes else len(payload), "digest": claimed}
+    block, kind = rest[:-4], fields["warc-type"].lower()
+    if "warc-block-digest" in fields and not _matches(block, fields["warc-block-digest"]):
+        raise WarcError("the block does not match its digest")
+    http = fields.get("content-type", "").lower().startswith("application/http")
+    payload, length = _http(block) if http else (block, None)
+    claimed = fields.get("warc-payload-digest", "")
+    if kind != "revisit" and "warc-truncated" not in fields:
+        if length is not None and length != len(payload):
+            raise WarcError("the payload does not match its length")
+        raw = block.partition(b"\r\n\r\n")[2] if http else block
+        # Writers differ in whether they take the digest of a chunked body before or after it is joined.
+        if claimed and not _matches(payload, claimed) and not _matches(raw, claimed):
+            raise WarcError("the payload does not match its digest")
+    found = claimed.partition(":")[2].strip() if claimed.lower().startswith("sha1:") else None if kind == "revisit" else digest(payload)
+    return {"fields": fields, "type": kind, "payload": payload, "bytes": length if kind == "revisit" and length is not None else len(payload), "digest": found}
 
 
 def read_archive(path: str) -> Iterator[dict]:
     with open_file(path) as f:
         end = f.seek(0, 2)
-        at, given = 0, None
-        if end:
-            f.seek(0)
-            magic, length = struct.unpack("<II", f.read(8).ljust(8, b"\0"))
-            if magic == DICTIONARY_MAGIC:
-                body = f.read(length)
-                if len(body) < length:
-                    raise WarcError("the dictionary is cut off")
-                if body[:4] == struct.pack("<I", FRAME_MAGIC):
-                    body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
-                given, at = zstandard.ZstdCompressionDict(body), 8 + length
-        unpacker = zstandard.ZstdDecompressor(dict_data=given) if given else zstandard.ZstdDecompressor()
+        at, unpacker = 0, zstandard.ZstdDecompressor()
         while at < end:
+            f.seek(at)
+            head = f.read(8)
+            magic, length = struct.unpack("<II", head.ljust(8, b"\0"))
+            if magic & 0xFFFFFFF0 == SKIPPABLE_MAGIC:
+                if len(head) < 8 or at + 8 + length > end:
+                    raise WarcError("a skippable frame is cut off")
+                if magic == DICTIONARY_MAGIC and at == 0:
+                    body = f.read(length)
+                    try:
+                        if body[:4] == struct.pack("<I", FRAME_MAGIC):
+                            body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
+                        unpacker = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(body))
+                    except zstandard.ZstdError as error:
+                        raise WarcError(f"bad dictionary: {error}") from error
+                at += 8 + length
+                continue
             size = frame_size(f, at)
             f.seek(at)
             frame = f.read(size)
             if len(frame) < size:
                 raise WarcError(f"the frame at byte {at} is cut off")
-            yield parse_record(unpacker.decompressobj().decompress(frame))
+            try:
+                record = unpacker.decompressobj().decompress(frame)
+            except zstandard.ZstdError as error:
+                raise WarcError(f"bad frame at byte {at}: {error}") from error
+            yield parse_record(record)
             at += size
 
 
@@ -204,7 +270,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, archive_bytes: int
 
 
 def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url and, if asked for, the html (null on revisits)."""
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, record_id, refers_to_id and, if asked for, the html (null on revisits)."""
     files = manifest.select("path").repartition(max(1, min(manifest.count(), 4096)), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,19 +278,24 @@ def read_warc(manifest: DataFrame, with_payload: bool = False) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 for record in read_archive(path):
-                    f = record["fields"]
-                    kind = f["warc-type"]
-                    refers = _page(f["warc-refers-to"]) if kind == "revisit" else None
-                    rows.append((_page(f["warc-record-id"]), record["bytes"], record["digest"], kind, refers, f.get("warc-target-uri"), record["payload"].decode("utf-8", "surrogatepass") if with_payload and kind == "response" else None))
+                    f, kind = record["fields"], record["type"]
+                    refers = f.get("warc-refers-to") if kind == "revisit" else None
+                    html = None
+                    if with_payload and kind != "revisit":
+                        try:
+                            html = record["payload"].decode("utf-8", "surrogatepass")
+                        except UnicodeDecodeError:
+                            pass  # not a text
+                    rows.append((_page(f["warc-record-id"]), record["bytes"], record["digest"], kind, _page(refers), f.get("warc-target-uri"), f["warc-record-id"], refers, html))
                     if len(rows) == 500:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
                         rows = []
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"]
-    out = files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), *[pa.string()] * 4]
+    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "record_id", "refers_to_id", "html"]
+    out = files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string, refers_to_id string, html string")
     return out if with_payload else out.drop("html")
 
 
