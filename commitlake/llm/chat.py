@@ -10,7 +10,15 @@ A quoted passage is linked to the original of its whole hash, or else to the
 message that is the original of most of its lines (ties: the earliest), among
 earlier turns only.  A message replies to the latest original of its passages
 of the lowest linked level, or to the previous turn if nothing is linked.
-Positions follow the turns, so a message stands after what it replies to.
+Positions are those of a depth-first walk of the replies: a message is followed
+by all that descends from it, answers to one message in the order of their turns.
+
+Such a walk keeps runs of messages that each reply to the previous turn whole:
+after a run come the runs that reply into it, those that reply latest in it first,
+then by turn, each with its own descendants.  So only conversations in which a
+message replies elsewhere are walked, by runs: every run's entry and exit point to
+the next one of the walk, and pointer doubling sums the messages that follow, in
+as many rounds as the number of runs has binary digits.
 
 Each (conversation, hash) contributes one row, its earliest turn, so a passage
 that all messages share makes no pairs.  Positions are counted in buckets of
@@ -30,7 +38,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .ranking import positions
 from .storage import materialize
@@ -114,22 +122,77 @@ def _links(rows: DataFrame) -> DataFrame:
     )
 
 
+def _nth_run(runs: DataFrame) -> DataFrame:
+    """Adds ``nth``: the place of a run among those below the same run, by (reply_rank descending, start)."""
+    at_once = positions(runs, ["conv_id", "reply_rank"], F.floor(F.col("start") / TURNS_PER_BUCKET), ["start"]).withColumnRenamed("position", "inside")
+    spots = materialize(runs.groupBy("conv_id", "above", "reply_rank").agg(F.count("*").alias("n")), "chat-spots")
+    later = positions(spots, ["conv_id", "above"], F.floor(-F.col("reply_rank") / TURNS_PER_BUCKET), [F.desc("reply_rank")], F.col("n"))
+    later = later.select("conv_id", "reply_rank", F.col("before").alias("earlier"))
+    return at_once.join(later, ["conv_id", "reply_rank"]).withColumn("nth", F.col("earlier") + F.col("inside")).drop("inside", "earlier")
+
+
+def _walked(ranked: DataFrame) -> DataFrame:
+    """(conv_id, rank, place) in conversations where a message replies to another one than the previous; ``ranked(conv_id, rank, reply_rank)``."""
+    elsewhere = (F.col("rank") > 0) & (F.col("reply_rank") != F.col("rank") - 1)
+    walked = ranked.filter(elsewhere).select("conv_id").distinct()
+    messages = ranked.join(walked, "conv_id", "left_semi").withColumn("starts", F.when((F.col("rank") == 0) | elsewhere, F.col("rank")))
+    # The run of a message is the last start up to it, found in its bucket or else before.
+    messages = materialize(messages.withColumn("bucket", F.floor(F.col("rank") / TURNS_PER_BUCKET)), "chat-walked")
+    lasts = messages.groupBy("conv_id", "bucket").agg(F.max("starts").alias("last"))
+    earlier = Window.partitionBy("conv_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = lasts.select("conv_id", "bucket", F.max("last").over(earlier).alias("before"))
+    upto = Window.partitionBy("conv_id", "bucket").orderBy("rank")
+    messages = messages.join(lasts, ["conv_id", "bucket"]).withColumn("start", F.coalesce(F.max("starts").over(upto), "before"))
+    messages = materialize(messages.select("conv_id", "rank", "reply_rank", "start"), "chat-runs")
+
+    sizes = messages.groupBy("conv_id", "start").agg(F.count("*").alias("size"))
+    above = messages.select("conv_id", F.col("rank").alias("reply_rank"), F.col("start").alias("above"))
+    runs = messages.filter("rank = start and rank > 0").select("conv_id", "start", "reply_rank").join(above, ["conv_id", "reply_rank"])
+    runs = materialize(_nth_run(materialize(runs, "chat-replies")), "chat-nth")
+    below = runs.filter("nth = 0").select("conv_id", F.col("above").alias("start"), F.col("start").alias("first"))
+    sibling = runs.select("conv_id", "above", (F.col("nth") - 1).alias("nth"), F.col("start").alias("next"))
+    enter, leave = (lambda c: 2 * F.col(c)), (lambda c: 2 * F.col(c) + 1)
+    all_runs = sizes.join(below, ["conv_id", "start"], "left").join(runs.join(sibling, ["conv_id", "above", "nth"], "left").select("conv_id", "start", "above", "next"), ["conv_id", "start"], "left")
+    steps = F.array(
+        F.struct(enter("start").alias("at"), F.coalesce(enter("first"), leave("start")).alias("then"), F.col("size").alias("n")),
+        F.struct(leave("start").alias("at"), F.coalesce(enter("next"), leave("above")).alias("then"), F.lit(0).cast("long").alias("n")),
+    )
+    tour = materialize(all_runs.select("conv_id", F.explode(steps).alias("s")).select("conv_id", "s.*"), "chat-tour")
+    while not tour.filter("then is not null").isEmpty():
+        ahead = tour.select("conv_id", F.col("at").alias("then"), F.col("then").alias("far"), F.col("n").alias("more"))
+        tour = materialize(tour.join(ahead, ["conv_id", "then"], "left").select("conv_id", "at", F.col("far").alias("then"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n")), "chat-tour")
+    following = tour.filter("at % 2 = 0").select("conv_id", F.expr("at div 2").alias("start"), F.col("n").alias("following"))
+    whole = following.filter("start = 0").select("conv_id", F.col("following").alias("whole"))
+    first = following.join(whole, "conv_id").select("conv_id", "start", (F.col("whole") - F.col("following")).alias("first"))
+    return messages.join(first, ["conv_id", "start"]).select("conv_id", "rank", (F.col("first") + F.col("rank") - F.col("start")).alias("place"))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """Per message: conv_id, turn, role, position, reply_to, n_quotes, n_linked and its own text without quotes."""
     rows = materialize(parsed(messages), "chat-messages")
     turns = materialize(rows.select("conv_id", "turn").distinct(), "chat-turns")
-    placed = materialize(positions(turns, ["conv_id"], F.floor(F.col("turn") / TURNS_PER_BUCKET), ["turn"]), "chat-positions")
-    before = placed.select(F.col("conv_id").alias("_conv"), (F.col("position") + 1).alias("_next"), F.col("turn").alias("previous"))
-    placed = placed.join(before, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("position") == F.col("_next")), "left").drop("_conv", "_next")
-    placed = placed.join(_links(rows), ["conv_id", "turn"], "left")
-    placed = placed.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), "position", F.coalesce("quoted_turn", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
+    ranked = positions(turns, ["conv_id"], F.floor(F.col("turn") / TURNS_PER_BUCKET), ["turn"]).withColumnRenamed("position", "rank")
+    ranked = materialize(ranked, "chat-ranks")
+    linked = materialize(_links(rows), "chat-links")
+    quoted = linked.join(ranked.select("conv_id", F.col("turn").alias("quoted_turn"), F.col("rank").alias("quoted_rank")), ["conv_id", "quoted_turn"])
+    ranked = ranked.join(quoted, ["conv_id", "turn"], "left").withColumn("reply_rank", F.coalesce("quoted_rank", F.col("rank") - 1))
+    ranked = materialize(ranked, "chat-replies")
+    before = ranked.select(F.col("conv_id").alias("_conv"), (F.col("rank") + 1).alias("_next"), F.col("turn").alias("previous"))
+    placed = ranked.join(before, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("rank") == F.col("_next")), "left").drop("_conv", "_next")
+    if not linked.isEmpty():
+        placed = placed.join(_walked(ranked.select("conv_id", "rank", "reply_rank")), ["conv_id", "rank"], "left")
+        placed = placed.withColumn("rank", F.coalesce("place", "rank"))
+    placed = placed.select(
+        F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("rank").alias("position"),
+        F.coalesce("quoted_turn", "previous").alias("reply_to"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"),
+    )
     out = rows.join(placed, F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("turn").eqNullSafe(F.col("_turn")))
     return out.select("conv_id", "turn", "role", "position", "reply_to", F.size("quotes").cast("long").alias("n_quotes"), "n_linked", F.col("own").alias("text"))
 
 
 def rendered(ordered: DataFrame, messages_per_row: int = 500) -> DataFrame:
-    """Chat text from ``conversations``: (conv_id, part, text), at most so many positions in a row."""
+    """Chat text from ``conversations``: (conv_id, part, text), at most so many positions in a row; repeated rows are said once."""
     line = F.concat(F.lit("<|"), F.coalesce("role", F.lit("")), F.lit("|>\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
     part = F.floor(F.col("position") / messages_per_row)
-    said = F.array_sort(F.collect_list(F.struct("position", line.alias("line"))))
+    said = F.array_sort(F.collect_set(F.struct("position", line.alias("line"))))
     return ordered.groupBy("conv_id", part.alias("part")).agg(F.array_join(said["line"], "").alias("text"))
