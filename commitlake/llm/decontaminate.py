@@ -39,7 +39,7 @@ _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")
-MAX_WORDS = 4_000_000
+MAX_WORDS = 1_000_000
 ADDED = ("n_words", "hit_starts", "hit_ends", "hit_items")
 
 
@@ -52,7 +52,7 @@ class WindowIndex:
 
     def __init__(self, items: list[tuple[str, str | None]], width: int) -> None:
         self.ids: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, tuple[str, ...]]] = {}
+        self.windows: dict[int, dict[bytes, list[str]]] = {}
         for item, text in items:
             words = words_of(text)
             if not words:
@@ -61,9 +61,9 @@ class WindowIndex:
             size = min(width, len(words))
             held = self.windows.setdefault(size, {})
             for i in range(len(words) - size + 1):
-                key = ids[i : i + size].tobytes()
-                if item not in (has := held.get(key, ())):
-                    held[key] = (*has, item)
+                has = held.setdefault(ids[i : i + size].tobytes(), [])
+                if not has or has[-1] != item:
+                    has.append(item)
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit spans of words (sorted, apart), and items with an occurring window."""
