@@ -1,16 +1,95 @@
 """Reachability over the commit graph.
 
-All traversals are breadth-first and for many roots at once: one join of the
-frontier with the edges and one aggregation for each level, the levels written
-to the shared folder.  The visited set is keyed by (root, node), so a node that
-is reached over many paths is kept once, at its shortest distance.
+Traversals are breadth-first and for many roots at once.  The graph is cut into
+its connected components; a component of up to ``COMPONENT_ROWS`` edges and roots
+is walked whole by one task, root by root, so its depth costs no jobs.  Only
+larger components are walked level by level: one join of the frontier with the
+edges and one aggregation for each level, the levels written to the shared folder.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections import defaultdict, deque
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..plans.cut import materialize
+from .components import connected_components
+
+#: Edges, roots and stops of a component that one task may hold.
+COMPONENT_ROWS = 2_000_000
+_OUT = 100_000  # rows of a batch
+EDGE, ROOT, STOP = 0, 1, 2
+
+
+def _walk_component(limit: int | None, most: int | None):
+    """Walks one component's (kind, a, b, ord): every root's commits in first-in-first-out order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, roots, stops = defaultdict(list), set(), defaultdict(set)
+        for batch in batches:
+            for kind, a, b, ord in zip(*(batch.column(c).to_pylist() for c in ("kind", "a", "b", "ord"))):
+                if kind == EDGE:
+                    steps[a].append((ord, b))
+                elif kind == ROOT:
+                    roots.add(a)
+                else:
+                    stops[a].add(b)
+        steps = {a: list(dict.fromkeys(b for _, b in sorted(found))) for a, found in steps.items()}
+        held: list[tuple] = []
+        for root in roots:
+            stopped = stops.get(root, ())
+            seen, queue = {root}, deque([(root, 0)] if root not in stopped else [])
+            place = 0
+            while queue and (most is None or place < most):
+                node, distance = queue.popleft()
+                held.append((root, node, distance, place))
+                place += 1
+                if limit is None or distance < limit:
+                    for far in steps.get(node, ()):
+                        if far not in seen and far not in stopped:
+                            seen.add(far)
+                            queue.append((far, distance + 1))
+                if len(held) >= _OUT:
+                    yield _rows(held, batch.schema.field("a").type)
+                    held = []
+        yield _rows(held, batch.schema.field("a").type)
+
+    return run
+
+
+def _rows(held: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = (kind, kind, pa.int64(), pa.int64())
+    columns = zip(*held) if held else ((), (), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["root", "commit_id", "distance", "place"])
+
+
+def _walked(edges: DataFrame, roots: DataFrame, limit: int | None, forward: bool, stop: DataFrame | None, most: int | None) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """(root, commit_id, distance, place) in components that a task may hold, and the edges and roots of the others, if any."""
+    near, far = ("commit_id", "parent_id") if forward else ("parent_id", "commit_id")
+    ids = edges.schema["commit_id"].dataType
+    turn = F.col("ord").cast("long") if "ord" in edges.columns else F.lit(0).cast("long")
+    nothing = F.lit(0).cast("long")
+    starts = roots.select(F.col("root").cast(ids).alias("root")).dropna().distinct()
+    rows = edges.select(F.lit(EDGE).alias("kind"), F.col(near).alias("a"), F.col(far).alias("b"), turn.alias("ord")).dropna()
+    rows = rows.unionByName(starts.select(F.lit(ROOT).alias("kind"), F.col("root").alias("a"), F.col("root").alias("b"), nothing.alias("ord")))
+    if stop is not None:
+        rows = rows.unionByName(stop.select(F.lit(STOP).alias("kind"), F.col("root").cast(ids).alias("a"), F.col("commit_id").cast(ids).alias("b"), nothing.alias("ord")).distinct())
+    labels = connected_components(edges, "commit_id", "parent_id").withColumnRenamed("node", "a")
+    rows = materialize(rows.join(labels, "a", "left").withColumn("component", F.coalesce("label", "a")).drop("label"), "walk-rows")
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == ROOT).alias("roots")).filter("roots > 0")
+    sizes = materialize(sizes, "walk-components")
+    small = rows.join(sizes.filter(F.col("n") <= COMPONENT_ROWS), "component", "left_semi")
+    schema = T.StructType([T.StructField("root", ids), T.StructField("commit_id", ids), T.StructField("distance", T.LongType()), T.StructField("place", T.LongType())])
+    done = small.groupBy("component").applyInArrow(_walk_component(limit, most), schema)
+    large = sizes.filter(F.col("n") > COMPONENT_ROWS)
+    if large.isEmpty():
+        return done, None, None
+    rest = rows.join(large, "component", "left_semi")
+    ends = rest.filter(F.col("kind") == EDGE).select(F.col("a").alias(near), F.col("b").alias(far), "ord")
+    return done, ends, rest.filter(F.col("kind") == ROOT).select(F.col("a").alias("root"))
 
 
 def distances(edges: DataFrame, roots: DataFrame, limit: int | None = None, forward: bool = True, stop: DataFrame | None = None) -> DataFrame:
@@ -19,6 +98,13 @@ def distances(edges: DataFrame, roots: DataFrame, limit: int | None = None, forw
     ``forward`` follows parents, otherwise children.  Commits in
     ``stop(root, commit_id)`` are neither kept nor passed.
     """
+    done, ends, others = _walked(edges, roots, limit, forward, stop, None)
+    done = done.select("root", "commit_id", "distance")
+    return done if ends is None else done.unionByName(_by_levels(ends, others, limit, forward, stop))
+
+
+def _by_levels(edges: DataFrame, roots: DataFrame, limit: int | None, forward: bool, stop: DataFrame | None) -> DataFrame:
+    """``distances`` by one join and one written table a level."""
     near, far = ("commit_id", "parent_id") if forward else ("parent_id", "commit_id")
     step = edges.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct()
     step = materialize(step, "edges")
@@ -94,7 +180,14 @@ def nth_ancestor(edges: DataFrame, starts: DataFrame, count: int) -> DataFrame:
 
 
 def log(edges: DataFrame, roots: DataFrame, limit: int | None = 100) -> DataFrame:
-    """(root, commit_id, place): breadth-first order from each root, parents in their order, at most ``limit`` for a root.
+    """(root, commit_id, place): breadth-first order from each root, parents in their order, at most ``limit`` for a root."""
+    done, ends, others = _walked(edges, roots, None, True, None, limit)
+    done = done.select("root", "commit_id", "place")
+    return done if ends is None else done.unionByName(_log_by_levels(ends, others, limit))
+
+
+def _log_by_levels(edges: DataFrame, roots: DataFrame, limit: int | None) -> DataFrame:
+    """``log`` by levels.
 
     Within a level a commit's place follows the way of parent positions that
     first reaches it; places are ranks of (level, way).  A way takes three

@@ -12,12 +12,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table below ``spark.checkpoint.dir`` and read it back.
 
     Executors may be lost at any time after that without anything being
-    computed again.  Only where the setting is unset, as in tests, a temporary
-    folder takes its place.
+    computed again.  Only where the setting is unset and all tasks run on this
+    machine, as in tests, a temporary folder takes its place.
     """
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_commitlake_cuts", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = spark._commitlake_cuts = "file://" + tempfile.mkdtemp(prefix="commitlake-")
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
