@@ -1,26 +1,29 @@
-"""Cutting the lineage of iterative plans."""
+"""Cutting the lineage of iterative plans, in the folder that the whole cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_commitlake_root", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
+        root = spark._commitlake_root = "file://" + tempfile.mkdtemp(prefix="commitlake-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table below ``spark.checkpoint.dir`` and read it back.
+    """Write ``df`` as a table in the shared folder and read it back.
 
     Executors may be lost at any time after that without anything being
-    computed again.  Only where the setting is unset and all tasks run on this
-    machine, as in tests, a temporary folder takes its place.
+    computed again.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_commitlake_cuts", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        root = spark._commitlake_cuts = "file://" + tempfile.mkdtemp(prefix="commitlake-")
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
