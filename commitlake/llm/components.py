@@ -1,38 +1,5 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components, as the rest of the library has them."""
 
-from __future__ import annotations
+from ..operators.components import connected_components
 
-from pyspark.sql import DataFrame, functions as F
-
-from .storage import materialize
-
-
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): the smallest node of its component, for every node of an edge between two nodes.
-
-    Edges are undirected; loops and repeats have no effect, null ends are
-    dropped, and an empty table gives an empty result.  Every step is two
-    aggregations with map-side combining and a join that AQE may split; the
-    edges stay on the executors and are written to the shared folder in each
-    round, of which there are O(log n) in practice.  The rounds end when all
-    edges are stars: every node has one edge, to a node that has none itself.
-    """
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v").dropna()
-    pairs = materialize(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    ends = F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("end")
-    while True:
-        met = pairs.select(ends).groupBy("end.node").agg(F.sum("end.out").alias("outs"), F.min("end.out").alias("centre"))
-        if met.filter("outs > 1 or outs = 1 and centre = 0").isEmpty():
-            break
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        lower = large.filter("u <> v").distinct()
-        least = lower.groupBy("u").agg(F.min("v").alias("m"))
-        small = lower.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            least.select("u", F.col("m").alias("v"))
-        )
-        small = small.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        pairs = materialize(small.distinct(), "star-edges")
-    labels = pairs.select(F.col("u").alias("node"), F.col("v").alias("label"))
-    return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+__all__ = ["connected_components"]

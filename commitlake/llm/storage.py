@@ -1,33 +1,16 @@
-"""Tables and files in the folder that the whole cluster shares."""
+"""Files in the folder that the whole cluster shares, and its tables."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-    if not root:
-        root = getattr(spark, "_commitlake_root", None)
-        if not root:
-            root = spark._commitlake_root = "file://" + tempfile.mkdtemp(prefix="commitlake-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: this cuts the lineage."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+from ..plans.cut import materialize, shared_dir
+
+__all__ = ["materialize", "open_file", "read_file", "shared_dir", "write_file"]
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
