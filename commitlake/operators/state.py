@@ -11,42 +11,57 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .trees import FIELDS, commit_changes, side
 
 
-def index_of(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(path, fields.., state): ``after``, and the paths only ``before`` has as staged deletions without attributes."""
-    return stage(before, after, F.lit(True))
+def index_of(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., fields.., state): ``after``, and the paths only ``before`` has as staged deletions without attributes."""
+    return stage(before, after, F.lit(True), keys)
 
 
-def stage(index: DataFrame, work: DataFrame, paths: Column) -> DataFrame:
+def stage(index: DataFrame, work: DataFrame, paths: Column, keys: list[str] | None = None) -> DataFrame:
     """The index with the chosen paths taken from the work tree; a path that only the index has becomes deleted."""
-    side = lambda t, name: t.select("path", F.struct(*FIELDS).alias(name))
-    joined = side(index, "i").join(side(work, "w"), "path", "full_outer").withColumn("chosen", paths).filter("chosen or i is not null")
+    keys = keys or ["path"]
+    joined = side(index, keys, "i").join(side(work, keys, "w"), keys, "full_outer").withColumn("chosen", paths).filter("chosen or i is not null")
     now = F.when(F.col("chosen"), F.col("w")).otherwise(F.col("i"))
     fields = [now[f].alias(f) for f in FIELDS]
-    return joined.select("path", *fields, F.when(now.isNull(), "deleted").otherwise("present").alias("state"))
+    return joined.select(*keys, *fields, F.when(now.isNull(), "deleted").otherwise("present").alias("state"))
 
 
-def index_tree(stage: DataFrame) -> DataFrame:
-    return stage.filter("state = 'present'").select("path", *FIELDS)
+def index_tree(stage: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    return stage.filter("state = 'present'").select(*(keys or ["path"]), *FIELDS)
 
 
-def restore(target: DataFrame, source: DataFrame, paths: Column) -> DataFrame:
+def restore(target: DataFrame, source: DataFrame, paths: Column, keys: list[str] | None = None) -> DataFrame:
     """``target`` with the chosen paths as in ``source``; one that the source lacks is deleted."""
-    return target.filter(~paths).select("path", *FIELDS).unionByName(source.filter(paths).select("path", *FIELDS))
+    fields = [*(keys or ["path"]), *FIELDS]
+    return target.filter(~paths).select(*fields).unionByName(source.filter(paths).select(*fields))
 
 
-def reset_hard(index: DataFrame, work: DataFrame, target: DataFrame) -> DataFrame:
+def reset_hard(index: DataFrame, work: DataFrame, target: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The target tree, with the untracked files of the work tree whose paths it does not have."""
-    spared = work.join(index.select("path"), "path", "left_anti").join(target.select("path"), "path", "left_anti")
-    return target.select("path", *FIELDS).unionByName(spared.select("path", *FIELDS))
+    keys = keys or ["path"]
+    spared = work.join(index.select(*keys), keys, "left_anti").join(target.select(*keys), keys, "left_anti")
+    return target.select(*keys, *FIELDS).unionByName(spared.select(*keys, *FIELDS))
 
 
-def checkout_blocked(status: DataFrame, target: DataFrame) -> DataFrame:
-    """(path, reason) of what keeps a checkout without force from running: staged, unstaged, or untracked in the way."""
-    there = target.select("path", F.lit(True).alias("there"))
+def checkout_blocked(status: DataFrame, target: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., reason) of what keeps a checkout without force from running: staged, unstaged, or untracked in the way."""
+    keys = keys or ["path"]
+    there = target.select(*keys, F.lit(True).alias("there"))
     reason = (
         F.when(F.col("index_kind").isNotNull(), "staged").when(F.col("work_kind") != "untracked", "unstaged").when(F.col("there"), "untracked")
     )
-    return status.join(there, "path", "left").select("path", reason.alias("reason")).filter("reason is not null")
+    return status.join(there, keys, "left").select(*keys, reason.alias("reason")).filter("reason is not null")
+
+
+def checkout(status: DataFrame, index: DataFrame, work: DataFrame, target: DataFrame, keys: list[str] | None = None, group: list[str] | None = None, force: bool = False) -> DataFrame:
+    """The work trees after switching to ``target``: of the groups (``keys`` without the path) that nothing blocks, or of all by force."""
+    keys, group = keys or ["path"], group or []
+    switched = reset_hard(index, work, target, keys)
+    if force:
+        return switched
+    blocked = checkout_blocked(status, target, keys)
+    if group:
+        return switched.join(blocked.select(*group).distinct(), group, "left_anti")
+    return switched.join(blocked.agg(F.count("*").alias("n")).filter("n = 0"), F.lit(True), "left_semi")
 
 
 def rename(tree: DataFrame, old: str, new: str) -> DataFrame:

@@ -1,7 +1,10 @@
-"""Line diffs: shortest edit scripts, hunks, unified text, and span similarity."""
+"""Line diffs: shortest edit scripts, operations, hunks, unified text, and line deltas."""
 
 from __future__ import annotations
 
+import json
+from array import array
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
@@ -26,39 +29,49 @@ def split_lines(text: str) -> tuple[list[str], bool]:
 
 
 def _path(a: list, b: list, budget: int) -> list[tuple[int, int]] | None:
-    """Matched index pairs of a shortest script: furthest-reaching points for each number of edits, then back."""
+    """Matched index pairs of a shortest script: furthest-reaching points for each number of edits, then back.
+
+    ``trace[d]`` keeps the points of diagonals -d to d before step d, four bytes each.
+    """
     n, m = len(a), len(b)
-    furthest, trace, cells = {1: 0}, [], 0
-    for d in range(n + m + 1):
-        trace.append(dict(furthest))
+    most = n + m
+    furthest, trace, cells = array("i", bytes(4 * (2 * most + 3))), [], 0
+    zero = most + 1  # where diagonal 0 is
+    for d in range(most + 1):
+        trace.append(furthest[zero - d : zero + d + 1])
         cells += 2 * d + 1
         if cells > budget:
             return None
         for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and furthest[k - 1] < furthest[k + 1])
-            x = furthest[k + 1] if down else furthest[k - 1] + 1
+            down = k == -d or (k != d and furthest[zero + k - 1] < furthest[zero + k + 1])
+            x = furthest[zero + k + 1] if down else furthest[zero + k - 1] + 1
             while x < n and x - k < m and a[x] == b[x - k]:
                 x += 1
-            furthest[k] = x
+            furthest[zero + k] = x
             if x >= n and x - k >= m:
-                pairs, x, y = [], n, m
-                for d in range(d, 0, -1):
-                    before, k = trace[d], x - y
-                    k = k + 1 if k == -d or (k != d and before[k - 1] < before[k + 1]) else k - 1
-                    x0, y0 = before[k], before[k] - k
-                    while x > x0 and y > y0 and (x, y) != (x0, y0):
-                        x, y = x - 1, y - 1
-                        pairs.append((x, y))
-                    if (x, y) == (x0, y0):
-                        continue
-                    x, y = x0, y0
-                while x > 0 and y > 0:
-                    x, y = x - 1, y - 1
-                    pairs.append((x, y))
-                return [p for p in reversed(pairs) if a[p[0]] == b[p[1]]]
+                return _back(trace, n, m)
     return None
 
 
+def _back(trace: list[array], n: int, m: int) -> list[tuple[int, int]]:
+    pairs, x, y = [], n, m
+    for d in range(len(trace) - 1, 0, -1):
+        before, k = trace[d], x - y
+        down = k == -d or (k != d and before[d + k - 1] < before[d + k + 1])
+        k += 1 if down else -1
+        x0 = before[d + k]
+        y0 = x0 - k
+        # Equal lines follow the one edit of this step.
+        while x > x0 + (not down) and y > y0 + down:
+            x, y = x - 1, y - 1
+            pairs.append((x, y))
+        x, y = x0, y0
+    while x > 0 and y > 0:
+        x, y = x - 1, y - 1
+        pairs.append((x, y))
+    return pairs[::-1]
+
+
 def edits(a: list, b: list, budget: int = BUDGET) -> list[Edit]:
     """(op, a_start, a_count, b_start, b_count) from equal, delete and insert ranges, in order."""
     head = 0
@@ -98,36 +111,51 @@ def diff_text(a: str, b: str, normalize=None, budget: int = BUDGET) -> list[Edit
     return edits(*sides, budget)
 
 
-def unified(a: str, b: str, old: str = "a", new: str = "b", context: int = 3) -> str:
-    """Unified text of all hunks; empty if nothing differs."""
-    (la, fa), (lb, fb) = split_lines(a), split_lines(b)
-    rows: list[tuple[str, int, int]] = []
-    for op, i, n, j, m in diff_text(a, b):
+Row = tuple[str, int, int]
+
+
+def operations(changes: list[Edit]) -> list[Row]:
+    """(sign, old line, new line), 0-based, of every line kept, deleted or added."""
+    rows: list[Row] = []
+    for op, i, n, j, m in changes:
         if op == "equal":
             rows += [(" ", i + k, j + k) for k in range(n)]
         elif op == "delete":
             rows += [("-", i + k, j) for k in range(n)]
         else:
             rows += [("+", i, j + k) for k in range(m)]
-    changed = [k for k, r in enumerate(rows) if r[0] != " "]
-    if not changed:
-        return ""
+    return rows
+
+
+def hunks(rows: list[Row], context: int = 3) -> list[list[Row]]:
+    """Changed operations with up to ``context`` kept lines around, merged where these meet."""
     spans: list[list[int]] = []
-    for k in changed:
+    for k, (sign, _, _) in enumerate(rows):
+        if sign == " ":
+            continue
         low, high = max(0, k - context), min(len(rows), k + context + 1)
         if spans and low <= spans[-1][1]:
             spans[-1][1] = high
         else:
             spans.append([low, high])
+    return [rows[low:high] for low, high in spans]
+
 
-    def place(start: int, count: int) -> str:
-        return f"{start + 1 if count else start}" + ("" if count == 1 else f",{count}")
+def place(hunk: list[Row]) -> tuple[int, int, int, int]:
+    """1-based old start, old count, new start, new count; a side without lines keeps the offset."""
+    n, m = sum(r[0] != "+" for r in hunk), sum(r[0] != "-" for r in hunk)
+    return hunk[0][1] + (n > 0), n, hunk[0][2] + (m > 0), m
 
-    out = [f"--- {old}\n+++ {new}\n"]
-    for low, high in spans:
-        hunk = rows[low:high]
-        n, m = sum(r[0] != "+" for r in hunk), sum(r[0] != "-" for r in hunk)
-        out.append(f"@@ -{place(hunk[0][1], n)} +{place(hunk[0][2], m)} @@\n")
+
+def unified(a: str, b: str, old: str = "a", new: str = "b", context: int = 3, normalize=None) -> str:
+    """Unified text of all hunks; empty if nothing differs."""
+    (la, fa), (lb, fb) = split_lines(a), split_lines(b)
+    found = hunks(operations(diff_text(a, b, normalize)), context)
+    out = [f"--- {old}\n+++ {new}\n"] if found else []
+    for hunk in found:
+        starts = place(hunk)
+        ranges = [f"{start}" + ("" if count == 1 else f",{count}") for start, count in (starts[:2], starts[2:])]
+        out.append(f"@@ -{ranges[0]} +{ranges[1]} @@\n")
         for op, i, j in hunk:
             lines, at, final = (lb, j, fb) if op == "+" else (la, i, fa)
             out.append(f"{op}{lines[at]}\n")
@@ -136,6 +164,20 @@ def unified(a: str, b: str, old: str = "a", new: str = "b", context: int = 3) ->
     return "".join(out)
 
 
+def line_delta(base: str, target: str) -> str:
+    """JSON of the ranges of ``base`` and the lines that make ``target``."""
+    lines, final = split_lines(target)
+    steps = [[i, n] if op == "equal" else lines[j : j + m] for op, i, n, j, m in diff_text(base, target) if op != "delete"]
+    return json.dumps({"final": final, "steps": steps}, ensure_ascii=False, separators=(",", ":"))
+
+
+def apply_line_delta(base: str, delta: str) -> str:
+    given, lines, out = json.loads(delta), split_lines(base)[0], []
+    for step in given["steps"]:
+        out += lines[step[0] : step[0] + step[1]] if step and isinstance(step[0], int) else step
+    return "\n".join(out) + ("\n" if given["final"] else "")
+
+
 _PLACES = ("a_start", "a_count", "b_start", "b_count")
 #: Type objects, not text: workers import this module without a session.
 EDITS = T.ArrayType(T.StructType([T.StructField("op", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in _PLACES]]))
@@ -158,3 +200,23 @@ def added(e: Column) -> Column:
 
 def deleted(e: Column) -> Column:
     return F.aggregate(e, F.lit(0).cast("long"), lambda s, x: s + F.when(x["op"] == "delete", x["a_count"]).otherwise(0))
+
+
+#: hunk: its place and its lines with their signs.
+HUNKS = T.ArrayType(T.StructType([*[T.StructField(n, T.IntegerType()) for n in ("old_start", "old_count", "new_start", "new_count")], T.StructField("signs", T.StringType())]))
+
+
+@F.pandas_udf(HUNKS)
+def diff_hunks(a: pd.Series, b: pd.Series) -> pd.Series:
+    names = ("old_start", "old_count", "new_start", "new_count")
+    return pd.Series([[dict(zip(names, place(h))) | {"signs": "".join(r[0] for r in h)} for h in hunks(operations(diff_text(x or "", y or "")))] for x, y in zip(a, b)])
+
+
+@F.pandas_udf(T.StringType())
+def encode_line_delta(base: pd.Series, target: pd.Series) -> pd.Series:
+    return pd.Series([line_delta(x or "", y or "") for x, y in zip(base, target)], dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def decode_line_delta(base: pd.Series, delta: pd.Series) -> pd.Series:
+    return pd.Series([apply_line_delta(x or "", y) for x, y in zip(base, delta)], dtype=object)

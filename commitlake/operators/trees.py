@@ -52,13 +52,13 @@ def reverse(changed: DataFrame) -> DataFrame:
     return changed.select(*rest, kind.alias("kind"), F.col("after").alias("before"), F.col("before").alias("after"))
 
 
-def status(head: DataFrame, index: DataFrame, work: DataFrame) -> DataFrame:
-    """(path, index_kind, work_kind, untracked) of paths where HEAD, index and work tree differ."""
-    keys = ["path"]
+def status(head: DataFrame, index: DataFrame, work: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., index_kind, work_kind) of paths where HEAD, index and work tree differ; ``keys`` end in the path."""
+    keys = keys or ["path"]
     joined = side(head, keys, "head").join(side(index, keys, "index"), keys, "full_outer").join(side(work, keys, "work"), keys, "full_outer")
     untracked = F.col("index").isNull() & F.col("work").isNotNull()
     out = joined.select(
-        "path", change_kind(F.col("head"), F.col("index")).alias("index_kind"),
+        *keys, change_kind(F.col("head"), F.col("index")).alias("index_kind"),
         F.when(untracked, "untracked").otherwise(change_kind(F.col("index"), F.col("work"))).alias("work_kind"),
     )
     return out.filter("index_kind is not null or work_kind is not null")
@@ -82,10 +82,12 @@ def apply_changes(tree: DataFrame, changed: DataFrame, keys: list[str] | None =
     return kept.unionByName(changed.filter("after is not null").select(*keys, "after.*"))
 
 
-def applicable(changed: DataFrame, tree: DataFrame) -> DataFrame:
-    """One row ``applicable``: every changed path has its old side in ``tree``."""
-    joined = changed.select("path", "before").join(side(tree, ["path"], "now"), "path", "left")
-    return joined.agg(F.coalesce(F.bool_and(F.col("before").eqNullSafe(F.col("now"))), F.lit(True)).alias("applicable"))
+def applicable(changed: DataFrame, tree: DataFrame, diff: list[str] | None = None) -> DataFrame:
+    """(diff.., applicable): every changed path has its old side in ``tree``; without ``diff``, one row."""
+    diff = diff or []
+    joined = changed.select(*diff, "path", "before").join(side(tree, [*diff, "path"], "now"), [*diff, "path"], "left")
+    fits = F.coalesce(F.bool_and(F.col("before").eqNullSafe(F.col("now"))), F.lit(True)).alias("applicable")
+    return joined.groupBy(*diff).agg(fits) if diff else joined.agg(fits)
 
 
 def directories(paths: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
@@ -115,11 +117,12 @@ def merge_trees(base: DataFrame, ours: DataFrame, theirs: DataFrame, keys: list[
     return joined.withColumns({"resolved": F.when(take_ours, o).when(take_theirs, t), "conflict": ~(take_ours | take_theirs)})
 
 
-def summary(status: DataFrame) -> DataFrame:
-    """One row: numbers of staged, unstaged and untracked paths; any of them makes the tree unclean."""
-    counts = status.agg(
+def summary(status: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys.., staged, unstaged, untracked, clean): numbers of paths; any of them makes the tree unclean.  Without ``keys``, one row."""
+    aggregates = [
         F.count("index_kind").alias("staged"), F.count_if(F.col("work_kind") != "untracked").alias("unstaged"), F.count_if(F.col("work_kind") == "untracked").alias("untracked")
-    )
+    ]
+    counts = status.groupBy(*keys).agg(*aggregates) if keys else status.agg(*aggregates)
     return counts.withColumn("clean", (F.col("staged") + F.col("unstaged") + F.col("untracked")) == 0)
 
 
@@ -142,3 +145,10 @@ def same_but_space(a: Column, b: Column, rule: str) -> Column:
         return F.regexp_replace(text, f"{blank}(\\n|\\z)", "$1")
 
     return bare(a) == bare(b)
+
+
+def no_index(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(path, kind) of two sets of files (path, content) that differ in their bytes, without a repository."""
+    sides = [t.select("path", F.struct(F.sha2(F.col("content").cast("binary"), 256).alias("id")).alias(n)) for t, n in ((before, "before"), (after, "after"))]
+    joined = sides[0].join(sides[1], "path", "full_outer")
+    return joined.select("path", change_kind(F.col("before"), F.col("after")).alias("kind")).filter("kind is not null")
