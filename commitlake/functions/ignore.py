@@ -45,3 +45,8 @@ def ignored(path: Column, rules: list[Rule]) -> Column:
     """Whether the last rule that has the path ignores it; without one it is not ignored."""
     verdicts = [F.when(path.rlike(r.regex), F.lit(not r.negated)) for r in reversed(rules)]
     return F.coalesce(*verdicts, F.lit(False))
+
+
+def last_rule(path: Column, rules: list[Rule]) -> Column:
+    """The number, from 1, of the last rule that has the path; null without one."""
+    return F.coalesce(*[F.when(path.rlike(r.regex), F.lit(n)) for n, r in reversed(list(enumerate(rules, 1)))], F.lit(None).cast("int"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.pathspec import glob_regex
 from .trees import FIELDS, commit_changes, side
 
 
@@ -134,3 +135,21 @@ def resolve(names: list[str], refs: DataFrame, commits: DataFrame) -> DataFrame:
     found = (F.col("rank") < 4) | (F.col("n") == 1)
     status = F.when(F.col("rank").isNull(), "unknown").when(found, "found").otherwise("ambiguous")
     return asked.join(best, "asked", "left").select("asked", F.when(found, F.col("commit_id")).alias("commit_id"), status.alias("status"))
+
+
+def required(resolved: DataFrame) -> DataFrame:
+    """(asked, commit_id, error) of ``resolve``'s rows."""
+    error = F.when(F.col("status") == "unknown", F.concat(F.lit("unknown revision: "), "asked")).when(F.col("status") == "ambiguous", F.concat(F.lit("ambiguous revision: "), "asked"))
+    return resolved.select("asked", "commit_id", error.alias("error"))
+
+
+def ref_list(refs: DataFrame, prefix: str, pattern: str = "*", points_at: object = None) -> DataFrame:
+    """Refs under ``prefix`` whose short name fits a glob and that are at a commit, if one is given, by name."""
+    found = refs.filter(F.col("name").startswith(prefix) & F.substring("name", len(prefix) + 1, 1000).rlike(f"\\A{glob_regex(pattern, False)}\\z"))
+    return (found if points_at is None else found.filter(F.col("commit_id") == points_at)).orderBy("name")
+
+
+def remotes(config: DataFrame) -> DataFrame:
+    """(remote, url) of the keys ``remote.<name>.url``."""
+    named = F.regexp_extract("key", "\\Aremote[.](.+)[.]url\\z", 1)
+    return config.select(named.alias("remote"), F.col("value").alias("url")).filter("remote <> ''")

@@ -12,7 +12,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_commitlake_root", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         root = spark._commitlake_root = "file://" + tempfile.mkdtemp(prefix="commitlake-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

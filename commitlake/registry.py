@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import catalog, objects, porcelain, workflow  # noqa: F401 - registers its queries
+from .plans import catalog, contents, objects, porcelain, workflow  # noqa: F401 - registers its queries
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

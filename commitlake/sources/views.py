@@ -68,6 +68,20 @@ class Repository:
     def facts(self) -> DataFrame:
         return self.table("events").select(F.col("user_id").alias("e"), F.col("event_type").alias("a"), F.col("value").alias("v"), F.col("ts").alias("tx"), "event_id")
 
+    def tree_of(self, source: object) -> DataFrame:
+        """(path, content_id, size, mode) of ``head``, ``worktree``, ``empty`` or a commit's id."""
+        fields = ("path", "content_id", "size", "mode")
+        if source == "worktree":
+            return self.worktree.select(*fields)
+        if source == "head":
+            return self.tree.join(self.refs.filter(F.col("name") == HEAD), "commit_id", "left_semi").select(*fields)
+        return self.tree.filter(F.lit(False) if source == "empty" else F.col("commit_id") == source).select(*fields)
+
+    def sql(self, text: str, **relations: DataFrame) -> DataFrame:
+        """Spark SQL in which ``{name}`` stands for a relation of the repository or one given here; no view is left behind."""
+        own = {n: getattr(self, n) for n in ("commits", "edges", "tree", "refs", "blobs", "worktree", "facts") if "{" + n + "}" in text}
+        return self.spark.sql(text, **own, **relations)
+
 
 #: The same relations as common table expressions.
 SQL = """
