@@ -37,10 +37,10 @@ def scores(pairs: DataFrame, blobs: DataFrame, least: int = THRESHOLD) -> DataFr
             keep = pa.array(np.array(out, np.int64) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], ["old_content", "new_content", "score"]).filter(keep)
 
-    pairs = pairs.select("old_content", "new_content").distinct()
+    kind = blobs.schema["content_id"].dataType
+    pairs = pairs.select(*[F.col(c).cast(kind).alias(c) for c in ("old_content", "new_content")]).distinct()
     wanted = pairs.select(F.explode(F.array("old_content", "new_content")).alias("content_id")).distinct()
     texts = blobs.join(wanted, "content_id", "left_semi").select("content_id", F.encode("text", "utf-8").alias("data")).dropna()
-    kind = texts.schema["content_id"].dataType
     longs = T.ArrayType(T.LongType())
     fields = [T.StructField("content_id", kind), T.StructField("size", T.LongType()), T.StructField("hashes", longs), T.StructField("counts", longs)]
     counted = texts.filter(F.octet_length("data") <= MOST_BYTES).mapInArrow(hashed, T.StructType(fields))

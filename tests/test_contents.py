@@ -100,7 +100,7 @@ def test_similar_renames(spark):
     sides = defaultdict(lambda: ([], []))
     for x in trees.flat(changed).filter("kind <> 'modified'").collect():
         if (x["commit_id"], x["path"]) not in exact:
-            sides[x["commit_id"]][x["kind"] == "added"].append((x["path"], x["old_content"] or x["new_content"]))
+            sides[x["commit_id"]][x["kind"] == "added"].append((x["path"], x["new_content"] if x["old_content"] is None else x["old_content"]))
     want = set()
     for commit, (gone, come) in sides.items():
         pairs = [(-brute_score(text[c], text[e], 50), p.split("/")[-1] != q.split("/")[-1], p, q) for p, c in gone for q, e in come if c in text and e in text]
