@@ -102,12 +102,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
         return lambda w: F.struct((F.col("offset") + w["at"]).cast("int").alias("pos"), w["word"].alias("word"), F.lit(is_key).alias("key"))
 
     wanted = F.concat(F.transform("words", at_offset(0)), F.transform("key", at_offset(1)))
-    named = ["row", "template", "label", "size", "offset"]
-    asked = likely.select(*named, F.size("key").alias("key_size"), F.explode(wanted).alias("w")).select(*named, "key_size", "w.*")
+    asked = likely.select("row", "template", "offset", F.explode(wanted).alias("w")).select("row", "template", "offset", "w.*")
     asked = materialize(asked, "licence-asked")
     there = index.join(asked.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
-    counted = asked.join(there, ["row", "pos", "word"]).groupBy(*named, "key_size").agg(F.sum("key").alias("keys"), F.count("*").alias("n"))
-    verified = counted.filter(F.col("keys") == F.col("key_size")).withColumn("share", (F.col("n") - F.col("keys")) / F.col("size"))
+    # The written table is far smaller than its rows, so its size must not decide for a broadcast; its keys are all but unique.
+    met = asked.hint("shuffle_merge").join(there, ["row", "pos", "word"])
+    counted = met.groupBy("row", "template", "offset").agg(F.sum("key").alias("keys"), F.count("*").alias("n")).join(F.broadcast(table), "template")  # one row a template
+    verified = counted.filter(F.col("keys") == F.size("key")).withColumn("share", (F.col("n") - F.col("keys")) / F.col("size"))
     found = verified.groupBy("row").agg(
         F.collect_set("label").alias("more"), F.max("share").alias("share"),
         F.array_sort(F.collect_list(F.struct(F.col("offset").alias("start"), "label", "share"))).alias("notices"),
