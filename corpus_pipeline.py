@@ -42,7 +42,7 @@ STAGES = [
     ("token files", token_files),
 ]
 
-#: SQL can express neither the learned rules, nor XXH64 fingerprints, nor the tokenizer.
+#: SQL can express neither the learned rules, nor XXH64 shingles, nor the tokenizer; ``tests/llm`` has brute force instead.
 ORACLE_SQL = None
 
 
