@@ -126,8 +126,10 @@ def _by_levels(edges: DataFrame, roots: DataFrame, limit: int | None, forward: b
 
 def merge_bases(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left, right, base, cost) for ``pairs(left, right)``: least summed distance, ties to the smallest id; null without one."""
-    ends = pairs.select(F.explode(F.array("left", "right")).alias("root")).distinct()
-    far = materialize(distances(edges, ends), "ancestors")
+    return _bases(pairs, _far(edges, pairs))
+
+
+def _bases(pairs: DataFrame, far: DataFrame) -> DataFrame:
     a = far.select(F.col("root").alias("left"), "commit_id", F.col("distance").alias("d1"))
     b = far.select(F.col("root").alias("right"), "commit_id", F.col("distance").alias("d2"))
     common = pairs.distinct().join(a, "left").join(b, ["right", "commit_id"])
@@ -144,8 +146,7 @@ def is_ancestor(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def lowest_common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left, right, commit_id): common ancestors that are no proper ancestor of another common one."""
-    ends = pairs.select(F.explode(F.array("left", "right")).alias("root")).distinct()
-    far = materialize(distances(edges, ends), "ancestors")
+    far = _far(edges, pairs)
     a, b = far.select(F.col("root").alias("left"), "commit_id"), far.select(F.col("root").alias("right"), "commit_id")
     common = materialize(pairs.distinct().join(a, "left").join(b, ["right", "commit_id"]), "common")
     # Ancestors of a common ancestor are common too, so a parent of a common one is never lowest, and only parents need to be looked at.
@@ -155,8 +156,7 @@ def lowest_common_ancestors(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def reachable_not(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``A..B`` for ``pairs(left, right)``: (left, right, commit_id) reachable from right and not from left."""
-    ends = pairs.select(F.explode(F.array("left", "right")).alias("root")).distinct()
-    far = materialize(distances(edges, ends), "reach")
+    far = _far(edges, pairs)
     inside = pairs.distinct().join(far.select(F.col("root").alias("right"), "commit_id"), "right")
     return inside.join(far.select(F.col("root").alias("left"), "commit_id"), ["left", "commit_id"], "left_anti").select("left", "right", "commit_id")
 
@@ -212,9 +212,10 @@ def describe(log: DataFrame, tags: DataFrame) -> DataFrame:
     return log.join(tags, "commit_id").groupBy("root").agg(F.min_by("tag", F.struct("place", "tag")).alias("tag"), F.min("place").alias("n"))
 
 
-def _reach(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def _far(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(root, commit_id, distance) from both ends of all pairs, as a written table."""
     ends = pairs.select(F.explode(F.array("left", "right")).alias("root")).distinct()
-    return materialize(distances(edges, ends).select("root", "commit_id"), "reach")
+    return materialize(distances(edges, ends), "ancestors")
 
 
 def _of(pairs: DataFrame, far: DataFrame, end: str) -> DataFrame:
@@ -223,7 +224,7 @@ def _of(pairs: DataFrame, far: DataFrame, end: str) -> DataFrame:
 
 def ahead_behind(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left, right, ahead, behind): numbers of commits that only left, and only right, reaches."""
-    far = _reach(edges, pairs)
+    far = _far(edges, pairs)
     nothing, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     sides = _of(pairs, far, "left").withColumns({"l": one, "r": nothing}).unionByName(_of(pairs, far, "right").withColumns({"l": nothing, "r": one}))
     met = sides.groupBy("left", "right", "commit_id").agg(F.max("l").alias("l"), F.max("r").alias("r"))
@@ -233,8 +234,8 @@ def ahead_behind(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def symmetric_range(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``A...B``: (left, right, commit_id) that either side reaches and their merge base does not."""
-    bases = materialize(merge_bases(edges, pairs).select("left", "right", "base"), "bases")
-    far = _reach(edges, pairs)
+    far = _far(edges, pairs)
+    bases = materialize(_bases(pairs, far).select("left", "right", "base"), "bases")
     either = _of(pairs, far, "left").unionByName(_of(pairs, far, "right")).distinct()
     below = distances(edges, bases.filter("base is not null").select(F.col("base").alias("root"))).select(F.col("root").alias("base"), "commit_id")
     return either.join(bases, ["left", "right"]).join(below, ["base", "commit_id"], "left_anti").select("left", "right", "commit_id")
@@ -253,7 +254,7 @@ def pull_policy(edges: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def transfer_contents(edges: DataFrame, pairs: DataFrame, tree: DataFrame) -> DataFrame:
     """(left, right, content_id) in commits that right reaches and left does not, without contents that left's commits have."""
-    far = _reach(edges, pairs)
+    far = _far(edges, pairs)
     contents = tree.select("commit_id", "content_id").distinct()
     had = far.join(contents, "commit_id").select(F.col("root").alias("left"), "content_id").distinct()
     sent = _of(pairs, far, "right").join(far.withColumnRenamed("root", "left"), ["left", "commit_id"], "left_anti")

@@ -6,9 +6,10 @@ import random
 import time
 from collections import deque
 
+import pyarrow as pa
 import pytest
 
-from commitlake.operators import graph
+from commitlake.operators import components, graph
 
 
 def brute(edges, root):
@@ -51,3 +52,45 @@ def test_long_chain(spark):
     rows = graph.distances(edges, spark.createDataFrame([(3499,)], "root long")).agg({"distance": "max", "commit_id": "count"}).first()
     assert sorted(rows) == [3499, 3500] and time.time() - began < 120
     print(time.time() - began)
+
+
+def smallest(edges):
+    """The smallest node of its component, for each node."""
+    label = {n: n for e in edges for n in e}
+    changed = True
+    while changed:
+        changed = False
+        for u, v in edges:
+            least = min(label[u], label[v])
+            if (label[u], label[v]) != (least, least):
+                label[u] = label[v] = least
+                changed = True
+    return label
+
+
+@pytest.mark.parametrize("coalesced", ["true", "false"])
+def test_components_over_partitions(spark, coalesced):
+    """A chain, a ring, a tree and random edges; edges in one partition and spread over all."""
+    rng = random.Random(5)
+    edges = [(i, i + 1) for i in range(60)] + [(100 + i, 100 + (i + 1) % 20) for i in range(20)] + [(200 + i // 2, 200 + i) for i in range(1, 40)]
+    edges += [(rng.randrange(300, 400), rng.randrange(300, 400)) for _ in range(60)]
+    edges = [e for e in edges if e[0] != e[1]]
+    rng.shuffle(edges)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesced)
+    try:
+        got = components.connected_components(spark.createDataFrame(edges + edges[:9], "a long, b long"), "a", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(got) == len({r["node"] for r in got}) and {r["node"]: r["label"] for r in got} == smallest(edges)
+
+
+@pytest.mark.parametrize("held", [2, 10, 1000])
+def test_joined_edges_keep_components(monkeypatch, held):
+    """Stars join the same nodes, however few nodes a task holds at once."""
+    monkeypatch.setattr(components, "HELD", held)
+    rng = random.Random(held)
+    edges = [e for e in ((rng.randrange(80), rng.randrange(80)) for _ in range(70)) if e[0] != e[1]]
+    batches = [pa.RecordBatch.from_pydict({"u": [max(e) for e in edges[i:i + 7]], "v": [min(e) for e in edges[i:i + 7]]}) for i in range(0, len(edges), 7)]
+    stars = [(r["u"], r["v"]) for b in components._joined(iter(batches)) for r in b.to_pylist()]
+    assert all(u > v for u, v in stars) and smallest(stars) == smallest(edges)
