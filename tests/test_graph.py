@@ -94,3 +94,21 @@ def test_joined_edges_keep_components(monkeypatch, held):
     batches = [pa.RecordBatch.from_pydict({"u": [max(e) for e in edges[i:i + 7]], "v": [min(e) for e in edges[i:i + 7]]}) for i in range(0, len(edges), 7)]
     stars = [(r["u"], r["v"]) for b in components._joined(iter(batches)) for r in b.to_pylist()]
     assert all(u > v for u, v in stars) and smallest(stars) == smallest(edges)
+
+
+def test_components_in_a_row_stay_whole(monkeypatch):
+    """A task that holds few nodes leaves none of the components that it reads one after another in two stars."""
+    monkeypatch.setattr(components, "HELD", 40)
+    edges = [(10 * k + i + 1, 10 * k + i) for k in range(40) for i in range(5)]
+    batches = [pa.RecordBatch.from_pydict({"u": [e[0] for e in edges[i:i + 3]], "v": [e[1] for e in edges[i:i + 3]]}) for i in range(0, len(edges), 3)]
+    stars = [(r["u"], r["v"]) for b in components._joined(iter(batches)) for r in b.to_pylist()]
+    assert sorted(stars) == sorted((10 * k + i, 10 * k) for k in range(40) for i in range(1, 6))
+
+
+def test_one_call_walks_many_components():
+    """Components come to a task in a row, over the ends of batches; each is walked by itself."""
+    rows = [(c, k, a, b, 0) for c in (0, 100, 200) for k, a, b in ((graph.ROOT, c + 2, c + 2), (graph.EDGE, c + 2, c + 1), (graph.EDGE, c + 1, c))]
+    names = ("component", "kind", "a", "b", "ord")
+    batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i:i + 2]))))) for i in range(0, len(rows), 2)]
+    found = [tuple(r.values()) for b in graph._walk_components(None, None)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(found) == sorted((c + 2, c + 2 - d, d, d) for c in (0, 100, 200) for d in range(3))
