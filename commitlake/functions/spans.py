@@ -79,12 +79,18 @@ def span_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     bytes) carriage returns before a line feed are left out.  All spans are
     hashed at once, byte by byte.
     """
-    if b"\0" not in data[:8000]:
-        data = data.replace(b"\r\n", b"\n")
-    raw = np.frombuffer(data, np.uint8)
+    _, kinds, counts = span_counts_of([data])
+    return kinds, counts
+
+
+def span_counts_of(datas: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ends, hashes, counts): the ``span_counts`` of all strings one after another, and where those of each end."""
+    datas = [d if b"\0" in d[:8000] else d.replace(b"\r\n", b"\n") for d in datas]
+    stops = np.cumsum([len(d) for d in datas], dtype=np.int64)
+    raw = np.frombuffer(b"".join(datas), np.uint8)
     if not len(raw):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    lines = np.unique(np.append(np.flatnonzero(raw == 10) + 1, len(raw)))
+        return np.zeros(len(datas), np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+    lines = np.unique(np.concatenate([np.flatnonzero(raw == 10) + 1, stops[stops > 0]]))
     lengths = np.diff(lines, prepend=0)
     parts = -(-lengths // SPAN)
     first = np.repeat(lines - lengths, parts)
@@ -97,8 +103,42 @@ def span_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         a, b = one[live], two[live]
         one[live], two[live] = (a << np.uint32(7) ^ b >> np.uint32(25)) + raw[starts[live] + k], b << np.uint32(7) ^ a >> np.uint32(25)
     hashes = (one + two * np.uint32(FACTOR)).astype(np.int64) % MODULUS
-    kinds, at = np.unique(hashes, return_inverse=True)
-    return kinds, np.bincount(at, sizes).astype(np.int64)
+    owner = np.searchsorted(stops, starts, side="right")
+    kinds, at = np.unique(owner * MODULUS + hashes, return_inverse=True)
+    ends = np.searchsorted(kinds, np.arange(1, len(datas) + 1) * MODULUS)
+    return ends, kinds % MODULUS, np.bincount(at, sizes).astype(np.int64)
+
+
+class Sketches:
+    """Span counts of many contents, to score many pairs of them at once."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """``ids`` in ascending order, all different; ``ends``, ``hashes`` and ``counts`` as from ``span_counts_of``."""
+        self.ids, self.sizes, self.hashes, self.counts = ids, sizes, hashes, counts
+        self.lengths = np.diff(ends, prepend=0)
+        self.starts = ends - self.lengths
+        self.keys = np.repeat(np.arange(len(ids)), self.lengths) * MODULUS + hashes
+
+    def scores(self, a: np.ndarray, b: np.ndarray, least: int, held: int = 2_000_000) -> np.ndarray:
+        """``similarity`` of the contents at the places ``a`` and ``b``; about ``held`` spans are looked up at once."""
+        out, at = np.zeros(len(a), np.int64), 0
+        most, fewest = np.maximum(self.sizes[a], self.sizes[b]), np.minimum(self.sizes[a], self.sizes[b])
+        alike = np.flatnonzero((most > 0) & (most * (100 - least) >= (most - fewest) * 100))
+        total = np.cumsum(self.lengths[a[alike]])
+        while at < len(alike):
+            end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + held, side="right")))
+            pair = alike[at:end]
+            x, y = a[pair], b[pair]
+            n = self.lengths[x]
+            which = np.repeat(np.arange(len(pair)), n)
+            span = np.repeat(self.starts[x] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            wanted = y[which] * MODULUS + self.hashes[span]
+            there = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+            met = np.flatnonzero(self.keys[there] == wanted) if len(self.keys) else there
+            common = np.bincount(which[met], np.minimum(self.counts[span[met]], self.counts[there[met]]), len(pair)).astype(np.int64)
+            out[pair] = common * 100 // most[pair]
+            at = end
+        return out
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], size_a: int, size_b: int, least: int = 0) -> int:

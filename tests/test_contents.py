@@ -123,3 +123,40 @@ def test_forms():
     found = forms.split_forms('(ns a)\n; c\n(def s "x)\\"(")\n#_(skip me)\n[1 2]\n(f \\( (g) \'(h))\n(open')
     assert [(f["kind"], f["name"], f["line"]) for f in found] == [("ns", "a", 1), ("def", "s", 2), (None, None, 5), ("f", None, 6)]
     assert found[3]["calls"] == ["f", "g", "h"] and found[1]["text"].startswith("; c\n") and forms.split_forms("") == [] and forms.split_forms(")") == []
+
+
+def test_scores_of_pairs_in_blocks(spark, monkeypatch):
+    """Many small bins and contents in many pairs give every pair's score; no pair meets its contents in an exchange."""
+    from commitlake.operators import pairing
+
+    monkeypatch.setattr(pairing, "BLOCK_PAIRS", 40)
+    rng = random.Random(4)
+    texts = {i: "".join(f"line {rng.randrange(12)} of é\r\n" for _ in range(rng.randrange(9))) for i in range(30)} | {30: ""}
+    pairs = [(d, a, b) for d in range(2) for a in texts for b in texts] + [(0, 3, 99), (0, None, 3)]
+    given = spark.createDataFrame(pairs, "d int, old_content long, new_content long")
+    blobs = spark.createDataFrame(list(texts.items()), "content_id long, text string")
+    for least in (0, 50):
+        got = renames.scores(given, blobs, least)
+        assert "FlatMapCoGroupsInArrow" in got._jdf.queryExecution().toString()
+        want = {(d, a, b): brute_score(texts[a].encode(), texts[b].encode(), least) for d, a, b in pairs if a in texts and b in texts}
+        assert {tuple(r)[:3]: r["score"] for r in got.collect()} == {k: n for k, n in want.items() if n >= least}
+
+
+def test_spans_of_many_at_once():
+    rng = random.Random(7)
+    datas = [bytes(rng.choices([10, 13, 65, 66, rng.choice([0, 68])], k=rng.randrange(200))) for _ in range(50)] + [b"", b""]
+    ends, kinds, counts = spans.span_counts_of(datas)
+    for data, a, b in zip(datas, [0, *ends.tolist()], ends.tolist()):
+        assert dict(zip(kinds[a:b].tolist(), counts[a:b].tolist())) == brute_spans(data)
+
+
+def test_scores_of_texts_in_rows(spark):
+    rows = [(1, "a\nb\nc\n", "a\nc\n"), (2, "", ""), (3, None, "a"), (4, "x" * 200, "x" * 150 + "y" * 50)]
+    got = {r["content_id"]: r["score"] for r in renames.text_scores(spark.createDataFrame(rows, "content_id long, old_text string, new_text string"), 0).collect()}
+    assert got == {i: brute_score(a.encode(), b.encode(), 0) for i, a, b in rows if a is not None}
+
+
+def test_files_without_a_side_are_dealt(spark):
+    """Added and deleted files have no content on one side; a join on that side alone puts them all in one task."""
+    plan = catalog.QUERIES["h02_pickaxe"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") == 2 and all("spread" in line for line in plan.splitlines() if "LeftOuter" in line)
