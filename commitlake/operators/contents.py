@@ -30,14 +30,19 @@ def represented(contents: DataFrame) -> DataFrame:
 
 def decoded(stored: DataFrame) -> DataFrame:
     """(id, text) of ``represented`` contents: one join a level of deltas, of which there are at most ``MOST_DEPTH``."""
-    known = materialize(stored.filter("kind = 'full'").select("id", F.col("payload").alias("text")), "contents")
-    level = known
+    stored = materialize(stored, "stored")
+    known = level = stored.filter("kind = 'full'").select("id", F.col("payload").alias("text"))
+    deltas = stored.filter("kind = 'line-delta'")
+    left = deltas.count()
     for _ in range(MOST_DEPTH):
-        above = stored.filter("kind = 'line-delta'").join(level.select(F.col("id").alias("base"), F.col("text").alias("base_text")), "base")
+        if not left:
+            break
+        above = deltas.join(level.select(F.col("id").alias("base"), F.col("text").alias("base_text")), "base")
         level = materialize(above.select("id", textdiff.decode_line_delta("base_text", "payload").alias("text")), "contents")
-        if level.isEmpty():
+        made = level.count()
+        if not made:
             break
-        known = known.unionByName(level)
+        left, known = left - made, known.unionByName(level)
     return known
 
 

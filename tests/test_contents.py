@@ -160,3 +160,35 @@ def test_files_without_a_side_are_dealt(spark):
     """Added and deleted files have no content on one side; a join on that side alone puts them all in one task."""
     plan = catalog.QUERIES["h02_pickaxe"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftOuter") == 2 and all("spread" in line for line in plan.splitlines() if "LeftOuter" in line)
+
+
+def test_counts_of_diffs(spark):
+    """The numbers of the edits, without the edits: the plan has no array of them."""
+    rng = random.Random(6)
+    rows = [(i, *("\n".join(rng.choices("abc", k=rng.randrange(9))) + rng.choice(["", "\n"]) for _ in range(2))) for i in range(40)] + [(40, None, "a"), (41, "", "")]
+    df = spark.createDataFrame(rows, "id long, a string, b string").select("id", textdiff.diff_counts("a", "b").alias("n")).select("id", "n.*")
+    for r, (_, a, b) in zip(sorted(df.collect()), rows):
+        edits = textdiff.diff_text(a or "", b or "")
+        assert tuple(r)[1:] == tuple(sum(e[n] for e in edits if e[0] == op) for op, n in (("insert", 4), ("delete", 2), ("equal", 2)))
+    for name in ("d05_inserted_lines", "d06_kept_lines"):
+        plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "diff_counts" in plan and "diff_edits" not in plan and "Join" not in plan
+
+
+def test_versions_are_stored_without_a_join(spark):
+    """Versions of a text meet in its row, and deltas are encoded once; a delta may have a full base of any depth."""
+    from commitlake.operators import contents as operator
+
+    assert "Join" not in contents.stored(Repository(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    rows = [("a", "full", None, 0, "x\ny\n"), ("b", "line-delta", "a", 2, textdiff.line_delta("x\ny\n", "x\nz\n")), ("c", "line-delta", "b", 3, textdiff.line_delta("x\nz\n", "z\n"))]
+    seen = spark.sparkContext.accumulator(0)
+
+    def once(payload):
+        seen.add(1)
+        return payload
+
+    from pyspark.sql import functions as F
+
+    given = spark.createDataFrame(rows, "id string, kind string, base string, depth int, payload string").withColumn("payload", F.udf(once, "string")("payload"))
+    got = {r["id"]: r["text"] for r in operator.decoded(given).collect()}
+    assert got == {"a": "x\ny\n", "b": "x\nz\n", "c": "z\n"} and seen.value == 3
