@@ -9,9 +9,11 @@ templates' postings, so that no notice hides another, and
 template's order and distance agree on that offset.  Offsets with enough words
 are verified: the template's mandatory key phrase must stand there word for
 word.  The score is the share of the template's words that stand at the offset.
+A file's hits are in its row, so offsets are counted and verified there, by one
+sort of the file's postings; no hit goes through an exchange.
 
 Edge cases: a null or empty text has no words, no places and score 0; repeated
-rows are told apart by a row number stored with the index; ties in IDF go to
+rows stay apart, as each is scanned by itself; ties in IDF go to
 the smaller word; an empty table gives an empty result; extra columns are
 neither read nor returned.  No cap limits a file's places.
 """
@@ -20,9 +22,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .literals import ascii_lower, literal_table
+from .literals import ascii_lower
 from .storage import materialize
 
 #: Base phrases and their labels.
@@ -48,7 +50,7 @@ def _index(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -
     words = F.regexp_extract_all(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
     rows = docs.select(F.col(id_col).alias("doc_id"), words.alias("words"))
     hits = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda h: h["word"].isin(vocabulary))
-    return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
+    return rows.select("doc_id", F.size("words").cast("long").alias("n_words"), hits.alias("hits"))
 
 
 def _places(phrase: str) -> Column:
@@ -68,7 +70,6 @@ def _places(phrase: str) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, posted: int = POSTED,
          share: float = SHARE, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the matched ``notices``."""
-    spark = docs.sparkSession
     vocabulary = sorted({w for _, t, _ in templates for w in t.split()} | {w for p in phrases for w in p.split()})
     index = materialize(_index(docs, vocabulary, id_col, text_col), "licence-index")
 
@@ -79,45 +80,55 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, phr
     ranked = sorted(idf, key=lambda w: (-idf[w], w))
     rare = [[w for w in ranked if w in t.split()][:posted] for _, t, _ in templates]
     looked_up = {w for words in rare for w in words}
-    places = F.filter("hits", lambda h: h["word"].isin(sorted(looked_up)))
-    looked = index.select("row", F.explode(places).alias("h"))
-
-    postings = [{"template": k, "word": w, "at": i} for k, (_, t, _) in enumerate(templates) for i, w in enumerate(t.split()) if w in rare[k]]
-    notices = []
-    for k, (label, text, key) in enumerate(templates):
-        words = text.split()
-        at = next(i for i in range(len(words)) if words[i : i + len(key.split())] == key.split())
-        notices.append({"template": k, "label": label, "size": len(words), "posted": sum(w in rare[k] for w in words), "words": [{"at": i, "word": w} for i, w in enumerate(words)], "key": [{"at": at + i, "word": w} for i, w in enumerate(key.split())]})
-    offsets = (
-        looked.join(F.broadcast(literal_table(spark, postings, "template int, word string, at int")), F.col("h.word") == F.col("word"))  # the templates' words
-        .groupBy("row", "template", (F.col("h.pos") - F.col("at")).alias("offset"))
-        .agg(F.count("*").alias("n"))
-    )
-    word = "at int, word string"
-    table = literal_table(spark, notices, f"template int, label string, size int, posted int, words array<struct<{word}>>, key array<struct<{word}>>")
-    likely = offsets.join(F.broadcast(table), "template").filter(F.col("n") >= F.greatest(F.lit(least), F.ceil(share * F.col("posted"))))
-
-    # Each word that a template has at a likely offset is looked up by its position, so that long files cost no more a word.
-    def at_offset(is_key: int):
-        return lambda w: F.struct((F.col("offset") + w["at"]).cast("int").alias("pos"), w["word"].alias("word"), F.lit(is_key).alias("key"))
-
-    wanted = F.concat(F.transform("words", at_offset(0)), F.transform("key", at_offset(1)))
-    asked = likely.select("row", "template", "offset", F.explode(wanted).alias("w")).select("row", "template", "offset", "w.*")
-    asked = materialize(asked, "licence-asked")
-    there = index.join(asked.select("row").distinct(), "row", "left_semi").select("row", F.explode("hits").alias("h")).select("row", "h.pos", "h.word")
-    # The written table is far smaller than its rows, so its size must not decide for a broadcast; its keys are all but unique.
-    met = asked.hint("shuffle_merge").join(there, ["row", "pos", "word"])
-    counted = met.groupBy("row", "template", "offset").agg(F.sum("key").alias("keys"), F.count("*").alias("n")).join(F.broadcast(table), "template")  # one row a template
-    verified = counted.filter(F.col("keys") == F.size("key")).withColumn("share", (F.col("n") - F.col("keys")) / F.col("size"))
-    found = verified.groupBy("row").agg(
-        F.collect_set("label").alias("more"), F.max("share").alias("share"),
-        F.array_sort(F.collect_list(F.struct(F.col("offset").alias("start"), "label", "share"))).alias("notices"),
-    )
+    # Postings of the looked-up words, and of each template what is verified; as values of the plan, so that a file's row meets them where it is.
+    words = {k: text.split() for k, (_, text, _) in enumerate(templates)}
+    posted_at = {w: [(k, i) for k in words for i, x in enumerate(words[k]) if x == w and w in rare[k]] for w in sorted(looked_up)}
+    most = max(len(x) for x in words.values())
+    notice = T.StructType([T.StructField("label", T.StringType()), *[T.StructField(n, T.IntegerType()) for n in ("size", "need", "key_at", "key_size")], T.StructField("words", T.ArrayType(T.StringType()))])
+    table = []
+    for k, (label, _, key) in enumerate(templates):
+        key = key.split()
+        at = next(i for i in range(len(words[k])) if words[k][i : i + len(key)] == key)
+        need = max(least, math.ceil(share * sum(w in rare[k] for w in words[k])))
+        table.append(F.struct(F.lit(label).alias("label"), *[F.lit(v).alias(n) for n, v in (("size", len(words[k])), ("need", need), ("key_at", at), ("key_size", len(key)))], F.array(*map(F.lit, words[k])).alias("words")))
+    table = F.array(*table).cast(T.ArrayType(notice))
+
+    def met(h: Column, j: Column) -> Column:
+        """(template, offset, place in hits) of every posting of a hit's word."""
+        none = F.array().cast("array<struct<template:int,offset:int,j:int>>")
+        out = F.when(F.lit(False), none)
+        for w, found in posted_at.items():
+            out = out.when(h["word"] == w, F.array(*[F.struct(F.lit(k).alias("template"), (h["pos"] - i).alias("offset"), j.alias("j")) for k, i in found]))
+        return out.otherwise(none)
+
+    # In order, postings that agree on a template's offset are neighbours: the first of them is kept if as many as needed follow.
+    index = index.withColumn("met", F.array_sort(F.flatten(F.transform("hits", met))))
+
+    def likely(m: Column, i: Column) -> Column:
+        def same(other: Column) -> Column:
+            return F.coalesce((other["template"] == m["template"]) & (other["offset"] == m["offset"]), F.lit(False))
+
+        need = F.get(table, m["template"])["need"]
+        return ~same(F.get(F.col("met"), i - 1)) & same(F.get(F.col("met"), i + need - 1))
+
+    index = index.withColumn("likely", F.filter("met", likely))
+
+    def verified(m: Column) -> Column:
+        """The template's words that stand at the offset; all of them are within its size of any one in hits."""
+        n = F.get(table, m["template"])
+        near = F.slice("hits", F.greatest(m["j"] + 1 - most, F.lit(1)), F.lit(2 * most))
+        there = F.filter(near, lambda h: F.coalesce(F.get(n["words"], h["pos"] - m["offset"]) == h["word"], F.lit(False)))
+        keys = F.filter(there, lambda h: (h["pos"] - m["offset"]).between(n["key_at"], n["key_at"] + n["key_size"] - 1))
+        return F.struct(m["offset"].alias("start"), n["label"].alias("label"), (F.size(there) / n["size"]).alias("share"), (F.size(keys) == n["key_size"]).alias("whole"))
+
+    notices = F.filter(F.transform("likely", verified), lambda v: v["whole"])
+    notices = F.array_sort(F.transform(notices, lambda v: F.struct(v["start"].cast("long").alias("start"), v["label"].alias("label"), v["share"].alias("share"))))
+    index = index.withColumn("found", notices)
 
     places = F.array_sort(F.concat(*[_places(p) for p in phrases]))
     labels = F.concat(*[F.when(F.size(_places(p)) > 0, F.array(F.lit(label))).otherwise(F.array().cast("array<string>")) for p, label in phrases.items()])
-    base = index.select("row", "doc_id", "n_words", places.alias("places"), F.array_sort(F.array_distinct(labels)).alias("own"))
-    out = base.join(found, "row", "left").withColumn("more", F.coalesce("more", F.array().cast("array<string>")))
+    base = index.select("doc_id", "n_words", places.alias("places"), F.array_sort(F.array_distinct(labels)).alias("own"), "found")
+    out = base.select("*", F.col("found.label").alias("more"), F.array_max("found.share").alias("share"), F.when(F.size("found") > 0, F.col("found")).alias("notices"))
     return out.select(
         "doc_id", "n_words",
         F.size("places").cast("long").alias("n_base"),
