@@ -13,6 +13,7 @@ from math import ceil, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of contents in a bin, and pairs in a block, that a task is to hold.
 BIN_BYTES, BLOCK_PAIRS = 48 << 20, 1_000_000
@@ -39,12 +40,6 @@ def in_blocks(pairs: DataFrame, contents: DataFrame, size: str, run: Callable[[p
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
         found = list(run(left, right)) if left.num_rows and right.num_rows else []
-        return pa.Table.from_batches(found) if found else pa.Table.from_batches([], _arrow(schema))
+        return pa.Table.from_batches(found) if found else pa.Table.from_batches([], to_arrow_schema(schema))
 
     return dealt.groupBy("block_i", "block_j").cogroup(sent.groupBy("block_i", "block_j")).applyInArrow(block, schema)
-
-
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)

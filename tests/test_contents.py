@@ -192,3 +192,23 @@ def test_versions_are_stored_without_a_join(spark):
     given = spark.createDataFrame(rows, "id string, kind string, base string, depth int, payload string").withColumn("payload", F.udf(once, "string")("payload"))
     got = {r["id"]: r["text"] for r in operator.decoded(given).collect()}
     assert got == {"a": "x\ny\n", "b": "x\nz\n", "c": "z\n"} and seen.value == 3
+
+
+@pytest.mark.parametrize("name", ["d07_hunks", "d08_unified", "d10_numstat_balance"])
+def test_texts_of_pairs_meet_in_blocks(spark, name):
+    """No join carries the texts of a pair."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "old_text" not in plan and "new_text" not in plan
+
+
+def test_unified_of_pairs(spark):
+    from commitlake.operators import pairing
+    from pyspark.sql import types as T
+
+    texts = [(1, "a\nb\n"), (2, "a\nc"), (3, None)]
+    pairs = [(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3)]
+    schema = T.StructType([T.StructField("old_content", T.LongType()), T.StructField("new_content", T.LongType()), T.StructField("patch", T.StringType())])
+    contents_ = spark.createDataFrame(texts, "content_id long, text string").selectExpr("*", "8 AS size")
+    got = pairing.in_blocks(spark.createDataFrame(pairs, "old_content long, new_content long"), contents_, "size", textdiff.of_pairs(textdiff.unified, "patch", T.StringType()), schema, 2)
+    known = dict(texts)
+    assert {(r[0], r[1]): r[2] for r in got.collect()} == {(a, b): textdiff.unified(known[a] or "", known[b] or "") for a, b in pairs if a in known}
