@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import scalars as S, spans
 from ..plans.cut import materialize
@@ -14,6 +15,7 @@ from . import textdiff
 
 #: Deltas on deltas, a delta's share of the content, and the size from which contents are chunked.
 MOST_DEPTH, RATIO, CHUNKED = 8, 0.8, 4 << 20
+_OUT, _BYTES = 20_000, 16 << 20  # rows of a batch, bytes in the last of its columns
 
 
 def represented(contents: DataFrame) -> DataFrame:
@@ -87,37 +89,84 @@ def commit_fields(payload: Column) -> Column:
     )
 
 
-def project(files: DataFrame, key: str, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Roots (key, oid) and directories (key, oid, payload) of ``files(key, path, mode, oid)`` with paths of up to ``depth`` slashes.
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*held), schema)], schema=schema)
 
-    Directories are built from the deepest level up, one aggregation a level.
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[-1])
+        if len(held) == _OUT or size > _BYTES:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def project(files: DataFrame, key: str) -> DataFrame:
+    """Directories (key, dir, oid, payload) of ``files(key, path, mode, oid)``; the root is the one without a ``dir``.
+
+    A key's directories come in a row, the root last, as ``tree_files`` reads
+    them.  A task holds the files of one key at a time; files that are dealt by
+    the key are not dealt again.
+    """
+    files = files.filter(F.col("path").isNotNull() & F.col(key).isNotNull())
+    # The number marks a key's first file, and has Spark bring a key's files together.
+    files = files.select(key, "path", "mode", "oid", F.row_number().over(Window.partitionBy(key).orderBy(key)).alias("n"))
+    text = T.StringType()
+    schema = T.StructType([files.schema[key], T.StructField("dir", text), T.StructField("oid", text), T.StructField("payload", T.BinaryType())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        held, now = [], None
+        for batch in batches:
+            for at, path, mode, oid, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if n == 1:
+                    if held:
+                        yield from ((now, *d) for d in objects.directories(held))
+                    held, now = [], at
+                held.append((path, mode, oid))
+        if held:
+            yield from ((now, *d) for d in objects.directories(held))
+
+    arrow = to_arrow_schema(schema)
+    return files.mapInArrow(lambda batches: _batches(rows(batches), arrow), schema)
+
+
+def tree_files(directories: DataFrame, key: str) -> DataFrame:
+    """(key, path, mode, oid) of the files that each key's root leads to, parsed from ``directories`` as ``project`` gives them.
+
+    A task holds the directories of one key at a time.
     """
-    split = lambda at: (F.when(at > 0, F.expr("substring(path, 1, length(path) - length(name) - 1)")).otherwise(F.lit("")))
-    entries = files.select(key, "path", "mode", "oid").withColumn("depth", F.size(F.split("path", "/")) - 1)
-    made, carried = [], None
-    for level in range(depth, -1, -1):
-        here = entries.filter(F.col("depth") == level).drop("depth")
-        here = here if carried is None else here.unionByName(carried)
-        here = here.withColumn("name", F.substring_index("path", "/", -1)).withColumn("dir", split(F.lit(level)))
-        trees = materialize(objects.encode_trees(here.select(key, "dir", "mode", "name", "oid"), [key, "dir"]), "directories")
-        made.append(trees)
-        carried = trees.select(key, F.col("dir").alias("path"), F.lit("40000").alias("mode"), "oid")
-    directories = made[0]
-    for trees in made[1:]:
-        directories = directories.unionByName(trees)
-    return made[-1].select(key, "oid"), directories.select(key, "oid", "payload").distinct()
-
-
-def tree_files(roots: DataFrame, directories: DataFrame, key: str, depth: int) -> DataFrame:
-    """(key, path, mode, oid) below ``roots(key, oid)``: one join with the directories' entries a level."""
-    entries = materialize(objects.tree_entries(directories.select("oid", "payload").dropDuplicates(["oid"]).withColumnRenamed("oid", "tree"), ["tree"]), "entries")
-    level, found = roots.select(key, F.lit("").alias("prefix"), F.col("oid").alias("tree")), None
-    for _ in range(depth + 1):
-        inside = materialize(level.join(entries, "tree").withColumn("path", F.concat("prefix", "name")), "tree-level")
-        files = inside.filter("mode <> '40000'").select(key, "path", "mode", "oid")
-        found = files if found is None else found.unionByName(files)
-        level = inside.filter("mode = '40000'").select(key, F.concat("path", F.lit("/")).alias("prefix"), F.col("oid").alias("tree"))
-    return found
+    text = T.StringType()
+    schema = T.StructType([directories.schema[key], *[T.StructField(n, text) for n in ("path", "mode", "oid")]])
+
+    def walk(payloads: dict, root: str) -> Iterator[tuple]:
+        open_ = [("", root)]
+        while open_:
+            prefix, tree = open_.pop()
+            for mode, name, oid in objects.parse_tree(payloads[tree]):
+                if mode == "40000":
+                    open_.append((f"{prefix}{name}/", oid))
+                else:
+                    yield prefix + name, mode, oid
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        payloads, now = {}, None
+        for batch in batches:
+            for at, dir_, oid, payload in zip(*(c.to_pylist() for c in batch.columns)):
+                if payloads and at != now:
+                    raise ValueError(f"the directories of {now} do not end in a root")
+                now = at
+                payloads[oid] = payload
+                if dir_ is None:
+                    yield from ((now, *f) for f in walk(payloads, oid))
+                    payloads = {}
+        if payloads:
+            raise ValueError(f"the directories of {now} do not end in a root")
+
+    arrow = to_arrow_schema(schema)
+    return directories.select(key, "dir", "oid", "payload").mapInArrow(lambda batches: _batches(rows(batches), arrow), schema)
 
 
 def blob_id(text: Column) -> Column:

@@ -26,6 +26,31 @@ def test_known_ids(spark):
         objects.parse_tree(b"100644 a\0short")
 
 
+def test_projected_directories(spark):
+    """Directories of any depth, against the aggregation of one directory, and back to files; nothing is written or dealt twice."""
+    from pyspark.sql import functions as F
+
+    from commitlake import registry
+    from commitlake.operators import contents
+
+    blob = [objects.object_id("blob", bytes([i])) for i in range(9)]
+    paths = ["a", "d.x", "d/a.b", "d/a/b", "d/a/c/e/f", "d/a/c/e/g", "d-", "/lead", "\u00fc/x", "b//y"]
+    files = [(k, path, "100755" if i % 3 else "100644", blob[(i + k) % 9]) for k in (1, 2, 5) for i, path in enumerate(paths[: 2 * k])] + [(9, "only/null", "100644", None)]
+    made = contents.project(spark.createDataFrame(files, "commit_id long, path string, mode string, oid string").repartition(3), "commit_id")
+    assert sorted(tuple(r) for r in contents.tree_files(made, "commit_id").collect()) == sorted(f for f in files if f[3])
+    rows = made.collect()
+    inside = {(k, path.rpartition("/")[0] if "/" in path else None, mode, path.rpartition("/")[2], oid) for k, path, mode, oid in files if oid}
+    inside |= {(r["commit_id"], r["dir"].rpartition("/")[0] if "/" in r["dir"] else None, "40000", r["dir"].rpartition("/")[2], r["oid"]) for r in rows if r["dir"] is not None}
+    want = objects.encode_trees(spark.createDataFrame(list(inside), "commit_id long, dir string, mode string, name string, oid string"), ["commit_id", "dir"])
+    got = {(r["commit_id"], r["dir"], r["oid"]) for r in rows}
+    assert {(r["commit_id"], r["dir"], r["oid"]) for r in want.collect()} == got - {(9, "only", objects.object_id("tree", b""))}
+    assert {r["commit_id"] for r in rows if r["dir"] is None} == {1, 2, 5, 9}
+    with pytest.raises(Exception, match="do not end in a root"):
+        contents.tree_files(made.filter(F.col("dir").isNotNull()), "commit_id").collect()
+    plan = registry.queries()["o06_tree_files"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
+
+
 BASE = b"hello world\n"
 DELTA = bytes([12, 18, 0x90, 6, 6]) + b"brave " + bytes([0x91, 6, 6])
 
