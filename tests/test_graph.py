@@ -112,3 +112,20 @@ def test_one_call_walks_many_components():
     batches = [pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows[i:i + 2]))))) for i in range(0, len(rows), 2)]
     found = [tuple(r.values()) for b in graph._walk_components(None, None)(iter(batches)) for r in b.to_pylist()]
     assert sorted(found) == sorted((c + 2, c + 2 - d, d, d) for c in (0, 100, 200) for d in range(3))
+
+
+def test_rebases_ask_only_for_their_trees(spark):
+    """The trees of replayed commits, their first parents and left, of a history with others."""
+    from commitlake.operators import workflow
+
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (4, 1, 0), (5, 4, 0), (8, 9, 0), (9, 3, 0)], "commit_id long, parent_id long, ord int")
+    rows = [(1, "a", 1), (2, "a", 2), (3, "a", 2), (4, "a", 1), (4, "b", 1), (5, "a", 7), (5, "b", 1), (8, "a", 9), (9, "a", 9)]
+    tree = spark.createDataFrame([(c, p, i, 0, 0) for c, p, i in rows], "commit_id long, path string, content_id long, size long, mode int")
+    asked = set()
+
+    def trees_of(commits):
+        asked.update(r[0] for r in commits.collect())
+        return tree.join(commits.distinct(), "commit_id", "left_semi")
+
+    pairs, commits = spark.createDataFrame([(3, 5)], "left long, right long"), tree.select("commit_id").distinct()
+    assert [tuple(r) for r in workflow.rebase_plans(edges, pairs, commits, trees_of).collect()] == [(3, 5, 2, 2)] and asked == {1, 3, 4, 5}
