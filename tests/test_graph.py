@@ -129,3 +129,20 @@ def test_rebases_ask_only_for_their_trees(spark):
 
     pairs, commits = spark.createDataFrame([(3, 5)], "left long, right long"), tree.select("commit_id").distinct()
     assert [tuple(r) for r in workflow.rebase_plans(edges, pairs, commits, trees_of).collect()] == [(3, 5, 2, 2)] and asked == {1, 3, 4, 5}
+
+
+def test_merges_ask_only_for_their_trees(spark):
+    """The trees of the pairs and their bases, of a history with others."""
+    from commitlake.operators import workflow
+
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (4, 1, 0), (8, 9, 0), (9, 3, 0)], "commit_id long, parent_id long, ord int")
+    rows = [(1, "a", 1), (1, "b", 1), (2, "a", 2), (3, "a", 2), (3, "b", 1), (4, "a", 3), (4, "b", 5), (8, "a", 9), (9, "a", 9)]
+    tree = spark.createDataFrame([(c, p, i, 0, 0) for c, p, i in rows], "commit_id long, path string, content_id long, size long, mode int")
+    asked = set()
+
+    def trees_of(commits):
+        asked.update(r[0] for r in commits.collect())
+        return tree.join(commits.distinct(), "commit_id", "left_semi")
+
+    plans, _ = workflow.merge_plans(edges, spark.createDataFrame([(3, 4), (4, 77)], "left long, right long"), trees_of)
+    assert {tuple(r) for r in plans.collect()} == {(3, 4, 1, "conflict", 2, 1), (4, 77, None, "unrelated", 2, 0)} and asked == {1, 3, 4, 77}
