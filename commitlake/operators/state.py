@@ -6,10 +6,10 @@ writes it as the next version.  A path set is a Column over ``path``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.pathspec import glob_regex
-from .trees import FIELDS, commit_changes, side
+from .trees import FIELDS, commit_changes, side, status_kinds
 
 
 def index_of(before: DataFrame, after: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -53,16 +53,30 @@ def checkout_blocked(status: DataFrame, target: DataFrame, keys: list[str] | Non
     return status.join(there, keys, "left").select(*keys, reason.alias("reason")).filter("reason is not null")
 
 
-def checkout(status: DataFrame, index: DataFrame, work: DataFrame, target: DataFrame, keys: list[str] | None = None, group: list[str] | None = None, force: bool = False) -> DataFrame:
-    """The work trees after switching to ``target``: of the groups (``keys`` without the path) that nothing blocks, or of all by force."""
+def blocking(sides: DataFrame, keys: list[str]) -> DataFrame:
+    """``checkout_blocked`` of the ``trees.met`` head, index, work and target."""
+    return sides.select(*keys, _reason().alias("reason")).filter("reason is not null")
+
+
+def _reason() -> Column:
+    index_kind, work_kind = status_kinds()
+    untracked = work_kind == "untracked"
+    return F.when(index_kind.isNotNull(), "staged").when(~untracked, "unstaged").when(untracked & F.col("target").isNotNull(), "untracked")
+
+
+def checkout(sides: DataFrame, keys: list[str] | None = None, group: list[str] | None = None, force: bool = False) -> DataFrame:
+    """The work trees after switching to the target: of the groups (``keys`` without the path) that nothing blocks, or of all by force.
+
+    ``sides`` are the ``trees.met`` head, index, work and target.
+    """
     keys, group = keys or ["path"], group or []
-    switched = reset_hard(index, work, target, keys)
-    if force:
-        return switched
-    blocked = checkout_blocked(status, target, keys)
-    if group:
-        return switched.join(blocked.select(*group).distinct(), group, "left_anti")
-    return switched.join(blocked.agg(F.count("*").alias("n")).filter("n = 0"), F.lit(True), "left_semi")
+    after = F.coalesce("target", F.when(F.col("index").isNull(), F.col("work")))
+    switched = sides.select(*keys, after.alias("after"), _reason().isNotNull().alias("blocked"))
+    if not force and group:
+        switched = switched.withColumn("blocked", F.max("blocked").over(Window.partitionBy(*group))).filter("not blocked")
+    elif not force:
+        switched = switched.join(switched.agg(F.count_if("blocked").alias("n")).filter("n = 0"), F.lit(True), "left_semi")
+    return switched.filter("after is not null").select(*keys, "after.*")
 
 
 def rename(tree: DataFrame, old: str, new: str) -> DataFrame:
