@@ -146,3 +146,15 @@ def test_merges_ask_only_for_their_trees(spark):
 
     plans, _ = workflow.merge_plans(edges, spark.createDataFrame([(3, 4), (4, 77)], "left long, right long"), trees_of)
     assert {tuple(r) for r in plans.collect()} == {(3, 4, 1, "conflict", 2, 1), (4, 77, None, "unrelated", 2, 0)} and asked == {1, 3, 4, 77}
+
+
+def test_only_components_with_roots_are_walked(spark, monkeypatch):
+    """Edges of other components are not written; a root on a loop and one without an edge reach themselves."""
+    from commitlake.operators import graph
+
+    written, write = {}, graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.setdefault(name, write(df, name)))
+    edges = spark.createDataFrame([(2, 1, 0), (3, 2, 0), (12, 11, 0), (7, 7, 0)], "commit_id long, parent_id long, ord int")
+    got = graph.distances(edges, spark.createDataFrame([(3,), (7,), (20,)], "root long"))
+    assert {tuple(r) for r in got.collect()} == {(3, 3, 0), (3, 2, 1), (3, 1, 2), (7, 7, 0), (20, 20, 0)}
+    assert written["walk-rows"].count() == 5
