@@ -24,7 +24,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,42 +65,72 @@ def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCE
         for w in np.unique(width).tolist():
             rows = np.flatnonzero(width == w)
             if w:
-                raw = np.unpackbits(np.ascontiguousarray(rest[rows]).view(np.uint8).reshape(len(rows), block, 4), axis=2, bitorder="little")
-                lines = np.packbits(raw[:, :, :w].reshape(len(rows), -1), axis=1, bitorder="little")
-                for r, line in zip(rows.tolist(), lines):
-                    packed[r] = line.tobytes()
+                lines, size = _pack(rest[rows], w).tobytes(), (block * w + 7) // 8
+                for i, r in enumerate(rows.tolist()):
+                    packed[r] = lines[i * size : (i + 1) * size]
         heads = np.zeros(len(whole), HEAD)
         heads["least"], heads["width"], heads["exceptions"] = least, width, count
-        for r in range(len(whole)):
-            tail = b""
-            if count[r]:
-                where = np.flatnonzero(wide[r])
-                tail = where.astype("<u2").tobytes() + rest[r, where].astype("<u4").tobytes()
-            out.append(heads[r].tobytes() + packed[r] + tail)
+        head, step = heads.tobytes(), HEAD.itemsize
+        # Exceptions in turn: those of a block are a slice of all.
+        where = np.nonzero(wide)
+        places, values = where[1].astype("<u2").tobytes(), rest[where].astype("<u4").tobytes()
+        upto = np.cumsum(count).tolist()
+        for r, (a, b) in enumerate(zip([0, *upto], upto)):
+            out.append(b"".join((head[r * step : (r + 1) * step], packed[r], places[2 * a : 2 * b], values[4 * a : 4 * b])))
     return out
 
 
+def _pack(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values, as bytes; eight values make ``width`` bytes."""
+    rows, block = values.shape
+    cells = np.pad(values & np.uint32((1 << width) - 1), ((0, 0), (0, -block % 8))).reshape(-1, 8)
+    column = np.ascontiguousarray(cells.T)
+    out = np.empty((len(cells), width), np.uint8)
+    for byte in range(width):
+        low = 8 * byte
+        parts = [column[j] << (j * width - low) if j * width >= low else column[j] >> (low - j * width) for j in range(low // width, (low + 7) // width + 1)]
+        out[:, byte] = np.bitwise_or.reduce(parts) if len(parts) > 1 else parts[0]
+    return out.reshape(rows, -1)[:, : (block * width + 7) // 8]
+
+
+def _unpack(lines: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The values of rows of bytes."""
+    rows, size = lines.shape
+    cells = np.pad(lines, ((0, 0), (0, -(-block // 8) * width - size))).reshape(-1, width)
+    column = np.ascontiguousarray(cells.T).astype(np.uint32 if width <= 25 else np.uint64)
+    out = np.empty((len(cells), 8), np.uint32)
+    for j in range(8):
+        first, shift = divmod(j * width, 8)
+        value = column[first] >> shift
+        for i in range(first + 1, (j * width + width - 1) // 8 + 1):
+            value |= column[i] << (8 * (i - first) - shift)
+        out[:, j] = value & ((1 << width) - 1)
+    return out.reshape(rows, -1)[:, :block]
+
+
+def _slices(data: memoryview, starts: np.ndarray, sizes: np.ndarray) -> bytes:
+    return b"".join([data[a:b] for a, b in zip(starts.tolist(), (starts + sizes).tolist())])
+
+
 def decode_blocks(data: bytes, starts: np.ndarray, block: int) -> np.ndarray:
     """The ids of the blocks at ``starts``, padding included."""
     out = np.empty((len(starts), block), np.uint32)
-    raw = np.frombuffer(data, np.uint8)
+    view = memoryview(data)
     for at in range(0, len(starts), _STEP):
         here = starts[at : at + _STEP].astype(np.int64)
-        heads = raw[here[:, None] + np.arange(HEAD.itemsize)].copy().view(HEAD).reshape(-1)
+        heads = np.frombuffer(_slices(view, here, np.full(len(here), HEAD.itemsize)), HEAD)
         part = np.zeros((len(here), block), np.uint32)
         sizes = (heads["width"].astype(np.int64) * block + 7) // 8
         for w in np.unique(heads["width"]).tolist():
             if w:
                 rows = np.flatnonzero(heads["width"] == w)
-                lines = raw[here[rows, None] + HEAD.itemsize + np.arange(sizes[rows[0]])]
-                bits = np.unpackbits(lines, axis=1, count=block * w, bitorder="little").reshape(len(rows), block, w)
-                full = np.zeros((len(rows), block, 32), np.uint8)
-                full[:, :, :w] = bits
-                part[rows] = np.packbits(full, axis=2, bitorder="little").view("<u4").reshape(len(rows), block)
-        for r in np.flatnonzero(heads["exceptions"]).tolist():
-            count, begin = int(heads["exceptions"][r]), int(here[r] + HEAD.itemsize + sizes[r])
-            where = np.frombuffer(data, "<u2", count, begin)
-            part[r, where] = np.frombuffer(data, "<u4", count, begin + 2 * count)
+                lines = np.frombuffer(_slices(view, here[rows] + HEAD.itemsize, sizes[rows]), np.uint8)
+                part[rows] = _unpack(lines.reshape(len(rows), -1), w, block)
+        rows = np.flatnonzero(heads["exceptions"])
+        if len(rows):
+            count, begin = heads["exceptions"][rows].astype(np.int64), here[rows] + HEAD.itemsize + sizes[rows]
+            where = np.frombuffer(_slices(view, begin, 2 * count), "<u2")
+            part[np.repeat(rows, count), where] = np.frombuffer(_slices(view, begin + 2 * count, 4 * count), "<u4")
         out[at : at + _STEP] = part + heads["least"][:, None]
     return out.reshape(-1)
 
@@ -153,7 +183,8 @@ class Words:
     ASCII capitals, which such a tokenizer lowers itself, are lowered first, and
     symbols between a letter or digit and white space, which the splitter cuts
     off too, are a piece.  A piece of Latin-1 small letters alone goes straight
-    to the tokenizer's model.  The memo is emptied when it is full.  Texts that
+    to the tokenizer's model.  The memo's ids lie in one array, and a full memo
+    keeps what was used last, up to half its limit.  Texts that
     name a special token, or have a combining mark (which composes with a small
     letter otherwise than with its capital), are encoded whole, as are all texts
     by any other tokenizer.
@@ -179,33 +210,67 @@ class Words:
         self.as_it_is = "(?i)" + "|".join([self.JOINING, *map(re.escape, special)])
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         small = [*range(0xDF, 0xF7), *range(0xF8, 0x100)]
-        self.bytes = {c: "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in small}
-        self.memo: dict[str, list[int]] = {}
+        self.bytes = {chr(c): "".join(x for x, _ in level.pre_tokenize_str(chr(c))) for c in small}
+        #: Pieces to their places: ``values`` from byte ``starts`` of a place up to that of the next.
+        self.memo: dict[str, int] = {}
+        self.values, self.starts = np.empty(0, np.uint32), np.zeros(1, np.int64)
+        #: The step that used a place last.
+        self.used, self.steps = np.empty(0, np.int64), 0
         want = self._whole("\n".join(self.PROBE) + " " + " ".join(self.PROBE))
         self.parts = want == [i for p in self.PROBE * 2 for q in re.sub(r"(\w)([.,;*]+)$", r"\1 \2", p.lower()).split() for i in self._whole(q)]
-        self.direct = all(self._direct(p) == self._whole(p) for p in ("of", "straße", "ñandú", "élève"))
+        tried = ["of", "straße", "ñandú", "élève"]
+        self.direct = self._direct(tried) == [self._whole(p) for p in tried]
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _direct(self, piece: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))]
-
-    def _lookup(self, pieces: list[str]) -> list[list[int]]:
-        memo = self.memo
-        new = [p for p in pieces if p not in memo]
-        if len(memo) + len(new) > self.LIMIT:
-            memo.clear()
-            new = pieces
-        now, rest = {}, []
-        for p in new:
-            if self.direct and self.PLAIN(p):
-                (memo if len(p) <= self.LONGEST else now)[p] = self._direct(p)
-            else:
-                rest.append(p)
-        for p, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            (memo if len(p) <= self.LONGEST else now)[p] = e.ids
-        return [memo[p] if p in memo else now[p] for p in pieces]
+    def _direct(self, pieces: list[str]) -> list[list[int]]:
+        """The model's ids; pieces are put into its byte letters many at once."""
+        joined = "\n".join(pieces)
+        if not joined.isascii():
+            for letter, written in self.bytes.items():
+                joined = joined.replace(letter, written)
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(p)] for p in joined.split("\n")] if pieces else []
+
+    def _encoded(self, pieces: list[str]) -> list[list[int]]:
+        plain = [self.PLAIN(p) is not None for p in pieces] if self.direct else [False] * len(pieces)
+        direct = iter(self._direct(list(compress(pieces, plain))))
+        rest = iter(self.tokenizer.encode_batch_fast([p for p, x in zip(pieces, plain) if not x], add_special_tokens=False))
+        return [next(direct) if x else next(rest).ids for x in plain]
+
+    def _forget(self) -> np.ndarray:
+        """Keep what was used last; the new place, or -1, of each old one, and -1 at the end."""
+        over = len(self.memo) - self.LIMIT // 2
+        kept = self.used > (np.partition(self.used, over - 1)[over - 1] if over > 0 else -1)
+        sizes = np.diff(self.starts)
+        self.memo = {p: i for i, p in enumerate(compress(self.memo, kept.tolist()))}
+        self.values, self.used = self.values[np.repeat(kept, sizes // 4)], self.used[kept]
+        self.starts = np.concatenate(([0], np.cumsum(sizes[kept])))
+        return np.append(np.where(kept, np.cumsum(kept) - 1, -1), -1)
+
+    def _ids(self, pieces: list[str], kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``pieces[kinds]`` in turn, and where each begins (and the last ends); ``pieces`` are distinct."""
+        self.steps += 1
+        places = np.fromiter(map(self.memo.get, pieces, repeat(-1)), np.int64, len(pieces))
+        self.used[places[places >= 0]] = self.steps
+        if len(self.memo) + np.count_nonzero(places < 0) > self.LIMIT:
+            places = self._forget()[places]
+        # Long pieces come last, for this step only.
+        new = sorted(np.flatnonzero(places < 0).tolist(), key=lambda i: len(pieces[i]) > self.LONGEST)
+        found, size = self._encoded([pieces[i] for i in new]), len(self.memo)
+        places[new] = np.arange(size, size + len(new))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        values = np.concatenate((self.values, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        starts = np.concatenate((self.starts, self.starts[-1] + 4 * np.cumsum(sizes)))
+        self.memo |= {pieces[i]: n for n, i in enumerate(new, size) if len(pieces[i]) <= self.LONGEST}
+        size = len(self.memo)
+        self.values, self.starts = values[: starts[size] // 4], starts[: size + 1]
+        self.used = np.append(self.used, np.full(size - len(self.used), self.steps))
+        stored = pa.Array.from_buffers(pa.large_binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(values)])
+        taken = stored.take(pa.array(places[kinds]))
+        begins = np.frombuffer(taken.buffers()[1], np.int64, len(kinds) + 1) // 4 if len(kinds) else np.zeros(1, np.int64)
+        return np.frombuffer(taken.buffers()[2], np.uint32, begins[-1]) if begins[-1] else values[:0], begins
 
     def encode_all(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
         """The ids of each text, with the end id; null is an empty text."""
@@ -229,14 +294,8 @@ class Words:
         texts = pc.replace_substring(pc.replace_substring_regex(texts, self.MARK, r"\1 \2\3"), "\n", " ")
         lists = pc.split_pattern(texts, " ")
         coded = lists.flatten().dictionary_encode()
-        found = self._lookup(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        values = np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))
-        kinds = coded.indices.to_numpy()
-        each = sizes[kinds]
-        after = np.cumsum(each)
-        ids = values[np.repeat((np.cumsum(sizes) - sizes)[kinds] - (after - each), each) + np.arange(after[-1] if len(after) else 0)]
-        cuts = np.concatenate(([0], after))[np.cumsum(pc.list_value_length(lists).to_numpy())]
+        ids, begins = self._ids(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy())
+        cuts = begins[np.cumsum(pc.list_value_length(lists).to_numpy())]
         end = np.array(tail, np.uint32)
         part = (np.concatenate((ids[a:b], end)) for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist()))
         return [whole[i] if i in whole else next(part) for i in range(len(odd))]

@@ -9,6 +9,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import zstandard
 
@@ -37,6 +38,52 @@ def test_tokens_of_marks(spark):
         assert words.encode(t, None).tolist() == reference.encode(t, add_special_tokens=False).ids, t
 
 
+def test_full_memo_keeps_what_comes_back(spark):
+    """Pieces of every step go to the model once, however often the memo fills."""
+    from tokenizers import Tokenizer
+
+    path, asked = queries.tokenizer_path(), []
+    reference, words = Tokenizer.from_file(path), tokens.Words(path)
+
+    class Model:
+        model = words.model
+
+        def tokenize(self, piece):
+            asked.append(piece)
+            return self.model.tokenize(piece)
+
+    words.model, words.LIMIT = Model(), 40
+    letters = "abcdefghij"
+    for a in letters:
+        for b in letters[:3]:
+            text = " ".join(["über" + c for c in letters] + [f"new{a}{b}{c}" for c in letters])
+            assert words.encode(text, None).tolist() == reference.encode(text, add_special_tokens=False).ids
+            assert len(words.memo) <= 40
+    assert len(asked) == len(set(asked)) == 310
+    rare = "x" * (words.LONGEST + 1)
+    for text in (rare + " und", rare, "", " ", "und " + rare + " \u00fc"):
+        assert words.encode(text, 2).tolist() == [*reference.encode(text, add_special_tokens=False).ids, 2]
+    assert rare not in words.memo and len(words.starts) == len(words.memo) + 1 == len(words.used) + 1
+
+
+def test_token_blocks_bit_by_bit():
+    """Blocks of every width against bits written one after another."""
+    rng = np.random.default_rng(3)
+    for width in range(33):
+        for block in (1, 7, 8, 256):
+            ids = rng.integers(0, 2**width, 3 * block, dtype=np.uint64).astype(np.uint32)
+            for at, got in enumerate(tokens.encode_blocks(ids, block)):
+                part = ids[at * block :][:block].tolist()
+                rest = [x - min(part) for x in part]
+                used = sorted(x.bit_length() for x in rest)[-(-95 * block // 100) - 1]
+                wide = [(i, x) for i, x in enumerate(rest) if x.bit_length() > used]
+                bits = sum((x & ((1 << used) - 1)) << (i * used) for i, x in enumerate(rest))
+                want = min(part).to_bytes(4, "little") + bytes([used]) + len(wide).to_bytes(2, "little") + bits.to_bytes(-(-block * used // 8), "little")
+                want += b"".join(i.to_bytes(2, "little") for i, _ in wide) + b"".join(x.to_bytes(4, "little") for _, x in wide)
+                assert got == want
+            assert (tokens.decode_file(tokens.encode_file([(1, ids)], block))[0][1] == ids).all()
+
+
 def test_columns_of_all_names(spark, tmp_path):
     names = ["rest", "end", "last", "whole", "shard", "group_id", "domain", "key", "_domain", "_document", "copies", "position", "slot", "bytes"]
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40).selectExpr("*", *[f"'c' AS {n}" for n in names])
