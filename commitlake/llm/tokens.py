@@ -192,7 +192,7 @@ class Words:
 
     LIMIT, LONGEST = 400_000, 40
     #: Characters of text that are encoded at a time, but for longer documents.
-    STEP = 4_000_000
+    STEP = 2_000_000
     #: Symbols after a letter or digit, up to white space or the end (RE2).
     MARK = r"([a-z0-9\x{df}-\x{f6}\x{f8}-\x{ff}])([!-&(-/:-@\[-`{-~]+)([ \n]|\z)"
     #: Combining marks (RE2).
@@ -274,15 +274,18 @@ class Words:
 
     def encode_all(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
         """The ids of each text, with the end id; null is an empty text."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        ends, out, at = np.cumsum(pc.binary_length(texts).to_numpy()), [], 0
+        return list(self.encode_each(texts, end_id))
+
+    def encode_each(self, texts: pa.Array, end_id: int | None) -> Iterator[np.ndarray]:
+        """As ``encode_all``, holding the ids of one step at a time."""
+        ends, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)), 0
         while at < len(texts):
             upto = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + self.STEP, "right"))
             # A copy: Arrow's lower-casing mistakes the offsets of a slice.
             upto = max(at + 1, upto)
-            out += self._step(texts.take(pa.array(np.arange(at, upto))), end_id)
+            step = texts.take(pa.array(np.arange(at, upto))).cast(pa.large_string())
+            yield from self._step(pc.fill_null(step, ""), end_id)
             at = upto
-        return out
 
     def _step(self, texts: pa.Array, end_id: int | None) -> list[np.ndarray]:
         tail = [] if end_id is None else [end_id]
@@ -340,7 +343,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int
             return pa.RecordBatch.from_pydict({"part": [part], "file": [file], "path": [path], "n_docs": [len(held)], "n_ids": [count]}, MANIFEST)
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_all(batch.column(1), end_id)):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode_each(batch.column(1), end_id)):
                 held.append((doc_id, ids))
                 count += len(ids)
                 if count >= file_ids:

@@ -10,6 +10,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 
@@ -66,6 +67,18 @@ def test_full_memo_keeps_what_comes_back(spark):
     assert rare not in words.memo and len(words.starts) == len(words.memo) + 1 == len(words.used) + 1
 
 
+def test_ids_are_held_step_by_step(spark):
+    """The first ids come before a later step is encoded, in texts' order, nulls and long texts included."""
+    words = tokens.Words(queries.tokenizer_path())
+    words.STEP = 30
+    texts = pa.array(["pad", "one two", None, "three " * 40, "", "Ü\u0301 four", "five"]).slice(1)
+    each = words.encode_each(texts, 2)
+    got = [next(each)]
+    assert "three" not in words.memo
+    got += each
+    assert "three" in words.memo and [x.tolist() for x in got] == [words.encode(t, 2).tolist() for t in texts.to_pylist()]
+
+
 def test_token_blocks_bit_by_bit():
     """Blocks of every width against bits written one after another."""
     rng = np.random.default_rng(3)
