@@ -212,3 +212,59 @@ def test_unified_of_pairs(spark):
     got = pairing.in_blocks(spark.createDataFrame(pairs, "old_content long, new_content long"), contents_, "size", textdiff.of_pairs(textdiff.unified, "patch", T.StringType()), schema, 2)
     known = dict(texts)
     assert {(r[0], r[1]): r[2] for r in got.collect()} == {(a, b): textdiff.unified(known[a] or "", known[b] or "") for a, b in pairs if a in known}
+
+
+def common_lines(a, b):
+    before = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        before = row
+    return before[-1]
+
+
+def test_scripts_beyond_the_trace(monkeypatch):
+    """However few cells a trace may have, a script is a shortest one, and the same as with the trace where that fits."""
+    monkeypatch.setattr(textdiff, "_OFTEN", 3)
+    rng = random.Random(8)
+    for k in range(1500):
+        a, b = (rng.choices("abcdefghijklmnop"[: rng.randrange(1, 17)], k=rng.randrange(30)) for _ in range(2))
+        if k % 3 == 0:
+            b = [x if rng.random() < 0.8 else "q" for x in a] + b[:3]
+        most = common_lines(a, b)
+        for budget in (0, 1, 20, 100):
+            script, back = textdiff.edits(a, b, budget), []
+            for op, i, n, j, m in script:
+                assert op != "equal" or a[i : i + n] == b[j : j + m]
+                back += {"equal": a[i : i + n], "insert": b[j : j + m], "delete": []}[op]
+            assert back == b and sum(e[2] for e in script if e[0] == "equal") == most
+            if (len(a) + len(b) - 2 * most + 1) ** 2 <= budget:
+                assert script == textdiff.edits(a, b)
+
+
+def long_texts(folder):
+    """A folder with documents of so many lines that a trace of their edits outgrows its budget."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rng = random.Random(9)
+    texts = ["\n".join(f"line {i}" for i in range(13_001)), "\n".join(rng.choices("abcdefgh", k=13_001)), "a\nb\nc\nd\ne"]
+    pq.write_table(pa.table({"doc_id": pa.array(range(3), pa.int64()), "text": texts}), folder / "documents.parquet")
+    return folder
+
+
+def like_sql(spark, name, folder):
+    """Whether a query equals its SQL over the tables of ``folder``, the others as they are."""
+    db = duckdb.connect()
+    for f in Path(SF).glob("*.parquet"):
+        own = Path(folder) / f.name
+        db.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{own if own.exists() else f}'")
+    got = catalog.QUERIES[name](spark, str(folder))
+    columns = ", ".join(f'"{c}"' for c in got.columns)
+    want = db.execute(f"SELECT {columns} FROM ({catalog.ORACLES[name]})").fetchall()
+    return bool(want) and Counter(tuple(r) for r in got.collect()) == Counter(want)
+
+
+def test_inserted_lines_of_long_texts(spark, tmp_path):
+    assert like_sql(spark, "d05_inserted_lines", long_texts(tmp_path))
