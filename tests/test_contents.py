@@ -268,3 +268,7 @@ def like_sql(spark, name, folder):
 
 def test_inserted_lines_of_long_texts(spark, tmp_path):
     assert like_sql(spark, "d05_inserted_lines", long_texts(tmp_path))
+
+
+def test_kept_lines_of_long_texts(spark, tmp_path):
+    assert like_sql(spark, "d06_kept_lines", long_texts(tmp_path))
