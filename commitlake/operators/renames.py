@@ -48,6 +48,8 @@ def scores(pairs: DataFrame, blobs: DataFrame, least: int = THRESHOLD) -> DataFr
     """
 
     def scored(left: pa.Table, right: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not right.num_rows:
+            return
         found = _sketches(*(right.column(c).combine_chunks() for c in ("content_id", "size", "hashes", "counts")))
         for batch in left.to_batches(_PAIRS_AT_ONCE):
             ends = [batch.column(c).to_numpy() for c in ("old_content", "new_content")]

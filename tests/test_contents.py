@@ -272,3 +272,40 @@ def test_inserted_lines_of_long_texts(spark, tmp_path):
 
 def test_kept_lines_of_long_texts(spark, tmp_path):
     assert like_sql(spark, "d06_kept_lines", long_texts(tmp_path))
+
+
+@pytest.mark.parametrize("ids", ["long", "string"])
+def test_contents_are_sent_once_however_many_bins(spark, ids):
+    """Blocks read their bins where they lie: no content is copied for each of them, and the pairs of a block come in order."""
+    import pyarrow as pa
+    from commitlake.operators import pairing
+
+    rng = random.Random(11)
+    texts = [(k - 5, rng.choice("abc")) for k in range(60)]
+    pairs = [(rng.randrange(-7, 60), rng.randrange(-7, 60)) for _ in range(400)]
+
+    def named(left, right):
+        at = dict(zip(right.column("content_id").to_pylist(), right.column("text").to_pylist()))
+        ends = [(a, b) for a, b in zip(left.column("old_content").to_pylist(), left.column("new_content").to_pylist())]
+        assert ends == sorted(ends)
+        yield pa.RecordBatch.from_arrays([pa.array([at.get(a, "-") + at.get(b, "-") + f" {a} {b}" for a, b in ends])], ["both"])
+
+    given = spark.createDataFrame(pairs, "old_content long, new_content long").selectExpr(*[f"CAST({c} AS {ids}) AS {c}" for c in ("old_content", "new_content")])
+    contents_ = spark.createDataFrame(texts, "content_id long, text string").selectExpr(f"CAST(content_id AS {ids}) AS content_id", "text", "1 AS size")
+    known = dict(texts)
+    for bins in (1, 2, 9):
+        got = pairing.in_blocks(given, contents_, "size", named, "both string", bins)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan and plan.count("CartesianProduct") == 1
+        assert Counter(r[0] for r in got.collect()) == Counter(known.get(a, "-") + known.get(b, "-") + f" {a} {b}" for a, b in pairs)
+
+
+def test_results_of_long_texts_come_in_small_batches(monkeypatch):
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    monkeypatch.setattr(textdiff, "_CHARACTERS", 10)
+    left = pa.table({"old_content": [1, 1, 3, 4, 2], "new_content": [2, 3, 9, 1, 2]})
+    right = pa.table({"content_id": [1, 2, 3, 4], "text": ["a\n", "abcdefghijk\n", None, ""]})
+    got = list(textdiff.of_pairs(textdiff.unified, "patch", T.StringType())(left, right))
+    assert [b.num_rows for b in got] == [1, 3] and pa.Table.from_batches(got).column("new_content").to_pylist() == [2, 3, 1, 2]
