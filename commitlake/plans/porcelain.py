@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import ignore, scalars as S
 from ..functions.pathspec import matches
 from ..operators import graph, state, textdiff, trees
-from .catalog import CHANGES, LINES, PAIRS, REACH, SIDES, KIND, changed, pairs, query, roots
+from .catalog import CHANGES, LINES, PAIRS, REACH, ROOTS, SIDES, KIND, changed, pairs, query, roots
 
 # -- attribute queries and views
 
@@ -137,9 +137,10 @@ def t16_materialise_plan(r):
 # -- graph
 
 
-@query(REACH + " SELECT root, commit_id FROM far", recursive=True)
+@query(REACH.replace(f" WHERE {ROOTS}", "") + " SELECT root, commit_id FROM far", recursive=True)
 def g02_transitive_closure(r):
-    return graph.distances(r.edges, roots(r)).select("root", "commit_id")
+    """Every commit with all that it reaches, itself included."""
+    return graph.distances(r.edges, r.commits.select(F.col("commit_id").alias("root"))).select("root", "commit_id")
 
 
 LOG = """, walk(root, commit_id, way) AS (SELECT commit_id, commit_id, '' FROM commits WHERE commit_id % 100 = 0

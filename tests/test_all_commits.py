@@ -51,3 +51,13 @@ def test_checkouts_meet_their_trees_once(spark):
     for name in ("k13_checkout", "k13_checkout_blocked", "t03_status_of_all", "m02_plan_all_trees"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert sum("FileScan" in line and "l_partkey" in line for line in plan.splitlines()) == 1
+
+
+def test_closure_of_all_commits(spark):
+    """Every commit is a root, in the query and in its SQL; the SQL of queries about some roots keeps them."""
+    from commitlake import registry
+
+    roots = registry.queries()["g02_transitive_closure"](spark, SF).select("root").distinct().collect()
+    assert {r[0] for r in roots} == {r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").collect()}
+    assert catalog.ROOTS not in registry.oracle_sql()["g02_transitive_closure"] and catalog.ROOTS in registry.oracle_sql()["g01_distances"]
+    test_all_commits(spark, "g02_transitive_closure")
