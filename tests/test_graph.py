@@ -158,3 +158,22 @@ def test_only_components_with_roots_are_walked(spark, monkeypatch):
     got = graph.distances(edges, spark.createDataFrame([(3,), (7,), (20,)], "root long"))
     assert {tuple(r) for r in got.collect()} == {(3, 3, 0), (3, 2, 1), (3, 1, 2), (7, 7, 0), (20, 20, 0)}
     assert written["walk-rows"].count() == 5
+
+
+def test_roots_of_long_components_are_dealt(spark, monkeypatch):
+    """All roots of a long component are not one task's; distances, logs and stops stay the same."""
+    monkeypatch.setattr(graph, "COMPONENT_STEPS", 500)
+    rng = random.Random(12)
+    edges = [(base + i, base + p, k) for base, size in ((0, 90), (1000, 5), (2000, 40)) for i in range(1, size) for k, p in enumerate(rng.sample(range(i), min(i, rng.choice([1, 2]))))]
+    table = spark.createDataFrame(edges, "commit_id long, parent_id long, ord int")
+    starts = [*range(90), *range(1000, 1005), 2039, 7777]
+    roots = spark.createDataFrame([(r,) for r in starts], "root long")
+    got = graph.distances(table, roots)
+    assert sorted(map(tuple, got.collect())) == sorted(x for r in starts for x in brute(edges, r))
+    keys = {k for part in got.rdd.glom().collect() for k in [frozenset(r["root"] for r in part if r["root"] < 90)] if k}
+    assert len(keys) > 1 and sum(map(len, keys)) == 90
+    order = sorted((r["root"], r["place"], r["commit_id"]) for r in graph.log(table, roots, 20).collect())
+    assert order == sorted((r, i, x[1]) for r in starts for i, x in enumerate(brute(edges, r)[:20]))
+    stop = spark.createDataFrame([(80, 0), (80, 1), (2039, 2000)], "root long, commit_id long")
+    kept = {(r["root"], r["commit_id"]) for r in graph.distances(table, roots, stop=stop).collect()}
+    assert {c for r, c in kept if r == 79} == {x[1] for x in brute(edges, 79)} and not kept & {(80, 0), (80, 1), (2039, 2000)} and {r for r, _ in kept} == set(starts)
